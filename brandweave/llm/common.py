@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,3 +181,16 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.
             own = words[starts[i] : starts[i] + counts[i]]
             out[firsts[i]] = mix64(np.array([np.sum(own * multiply[: len(own)]) + np.uint64(len(own))], dtype=np.uint64))[0]
     return out, n
+
+
+def slices(batches, column: int = 1, limit: int = 4 << 20):
+    """Parts of Arrow batches whose binary column holds about ``limit`` bytes, or one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // limit
+        at = 0
+        for to in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]:
+            yield batch.slice(at, to - at)
+            at = to

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brandweave.llm import packing
+from brandweave.llm import licenses, packing
 
 QUERIES = {
+    "op10_licenses": licenses.op10_licenses,
     "op8_packing": packing.op8_packing,
 }
 ORACLES: dict[str, str] = {}
