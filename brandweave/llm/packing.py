@@ -220,9 +220,10 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None =
     groups = max(1, -(-total // group_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         group = rows.column("group").to_numpy()
         if rows.column("length").to_numpy().max() > max_tokens or rows.column("length").to_numpy().max() ** 2 > cost:
             raise ValueError("a piece is larger than an empty sequence")
