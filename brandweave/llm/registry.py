@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from brandweave.llm import licenses, packing
+from brandweave.llm import licenses, mixing, packing
 
 QUERIES = {
+    "op6_mixing": mixing.op6_mixing,
     "op10_licenses": licenses.op10_licenses,
     "op8_packing": packing.op8_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.OP6_SQL,
+}
