@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brandweave.llm import licenses, mixing, packing
+from brandweave.llm import licenses, media, mixing, packing
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op6_mixing": mixing.op6_mixing,
     "op10_licenses": licenses.op10_licenses,
     "op8_packing": packing.op8_packing,
