@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brandweave.llm import language_model, licenses, media, mixing, packing, pii, quality
+from brandweave.llm import html, language_model, licenses, media, mixing, packing, pii, quality
 
 QUERIES = {
+    "op3_html": html.op3_html,
     "op2_pii": pii.op2_pii,
     "op4_quality": quality.op4_quality,
     "op7_language_model": language_model.op7_language_model,
