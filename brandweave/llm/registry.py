@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from brandweave.llm import html, language_model, licenses, media, mixing, neighbours, packing, pii, quality
+from brandweave.llm import html, jaccard, language_model, licenses, media, mixing, neighbours, packing, pii, quality
 
 QUERIES = {
+    "op9_jaccard": jaccard.op9_jaccard,
     "op5_neighbours": neighbours.op5_neighbours,
     "op3_html": html.op3_html,
     "op2_pii": pii.op2_pii,
