@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brandweave.llm.common import hash_words, mix64, shingles, slices, stored, table, utf8
 from brandweave.llm.graph import components
@@ -257,6 +258,19 @@ class Join:
         return stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _join(documents: DataFrame, width: int, threshold: tuple[int, int]) -> Join:
+    share = Fraction(*threshold)
+    if not 0 < share <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    return Join(documents, width, (share.numerator, share.denominator))
+
+
+def _nodes(join: Join) -> DataFrame:
+    """(fp, least, label) of every node: its smallest doc_id, and its component if it has links."""
+    labels = components(join.links()).withColumnRenamed("node", "fp")
+    return join.members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels, "fp", "left")
+
+
 def near_copies(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
@@ -266,18 +280,41 @@ def near_copies(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
     component_id is the smallest doc_id of those reachable by links. Rows with the same doc_id are
     linked like others; null doc_ids are no component_id unless a component has no other.
     """
-    share = Fraction(*threshold)
-    if not 0 < share <= 1:
-        raise ValueError("the threshold must be above 0 and at most 1")
-    join = Join(documents, width, (share.numerator, share.denominator))
-    labels = components(join.links()).withColumnRenamed("node", "fp")
-    nodes = join.members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels, "fp", "left")
+    join = _join(documents, width, threshold)
+    nodes = _nodes(join)
     ids = nodes.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(ids, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     full = join.members.where("n > 0").join(nodes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with its own columns.
+
+    Documents without words are all kept. Of repeated rows of the chosen document one stays; where a
+    component has only null doc_ids, one of its rows stays.
+    """
+    join = _join(documents, width, threshold)
+    nodes = _nodes(join)
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+    chosen = nodes.groupBy(F.coalesce("label", "fp").alias("label")).agg(first)
+    chosen = chosen.select(F.col("first.fp").alias("fp"), F.col("first.least").alias("least"))
+    rows = documents.select(F.struct("*").alias("row"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field("text").cast(pa.binary()).fill_null(b"")
+            for part in slices([pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "bytes"])]):
+                fps = [fingerprint(own) if len(own) else None for own in sets_of(part.column(1).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, type=pa.int64())], names=["row", "fp"])
+
+    named = rows.mapInArrow(name, T.StructType([*rows.schema, T.StructField("fp", T.LongType())]))
+    same = (named["fp"] == chosen["fp"]) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("least"))
+    number = F.row_number().over(W.partitionBy("fp").orderBy(F.xxhash64("row")))
+    kept = named.join(chosen, same).select("row", named["fp"]).withColumn("number", number).where("number = 1").select("row")
+    return kept.unionByName(named.where("fp is null").select("row")).select("row.*")
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at five words and a similarity of 0.8."""
     return near_copies(table(spark, sf_dir, "documents"))
