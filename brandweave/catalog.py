@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from brandweave.plans import events, sales, text
+
+QUERIES: dict = {**sales.QUERIES, **text.QUERIES, **events.QUERIES}
+ORACLES: dict[str, str] = {**sales.ORACLES, **text.ORACLES, **events.ORACLES}
