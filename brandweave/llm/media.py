@@ -168,7 +168,9 @@ class ArchiveReader(DataSourceReader):
         rows = pq.read_table(path, filesystem=store).to_pylist()
         return [ByteRange(r["archive"], a, min(r["bytes"], a + self.split_bytes)) for r in rows for a in range(0, r["bytes"], self.split_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's only partition where none is planned
+            return
         store, path = pafs.FileSystem.from_uri(partition.archive)
         for attempt in range(self.attempts):
             try:
