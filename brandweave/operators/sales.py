@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from brandweave.sources.tables import revenue
 
-SUM = F.sum("revenue")
+def total():
+    """Exact revenue of a group."""
+    return F.sum("revenue")
 
 
 def brand_revenue(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Revenue, lines and different parts of each brand."""
     lines = lineitem.select("l_partkey", revenue().alias("revenue")).join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    per_part = lines.groupBy("p_brand", "p_partkey").agg(SUM.alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
-    return per_part.groupBy(F.col("p_brand").alias("brand")).agg(SUM.cast("double").alias("revenue"), F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_parts"))
+    per_part = lines.groupBy("p_brand", "p_partkey").agg(total().alias("revenue"), F.count(F.lit(1)).alias("n_lines"))
+    return per_part.groupBy(F.col("p_brand").alias("brand")).agg(total().cast("double").alias("revenue"), F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_parts"))
 
 
 def brand_share(sales: DataFrame, by: str = "region") -> DataFrame:
     """Revenue of each brand, its share of the group's total, and its rank in the group."""
-    totals = sales.groupBy(by, "brand").agg(SUM.cast("double").alias("revenue"), SUM.alias("exact"))
+    totals = sales.groupBy(by, "brand").agg(total().cast("double").alias("revenue"), total().alias("exact"))
     group = W.partitionBy(by)
     return totals.select(
         by,
@@ -41,7 +43,7 @@ def brand_trend(sales: DataFrame, grain: str = "month") -> DataFrame:
     Every brand has a row for every period from the first to the last; without sales it is 0.
     """
     period = F.date_trunc(grain, "ordered").cast("timestamp_ntz")
-    totals = sales.groupBy(period.alias("period"), "brand").agg(SUM.alias("exact"))
+    totals = sales.groupBy(period.alias("period"), "brand").agg(total().alias("exact"))
     step = F.expr(f"interval 1 {grain}")
     calendar = totals.agg(F.min("period").alias("a"), F.max("period").alias("b")).select(F.explode(F.sequence("a", "b", step)).alias("period"))
     # one row for each period and brand: both sides are small sets of names
@@ -69,12 +71,12 @@ def brand_moving_avg(trend: DataFrame, n: int = 3) -> DataFrame:
 
 def brand_cube(sales: DataFrame, dims: tuple[str, ...] = ("region", "brand", "type")) -> DataFrame:
     """Revenue by all subsets of the dimensions."""
-    return sales.cube(*dims).agg(SUM.cast("double").alias("revenue"), F.grouping_id().cast("long").alias("grouping"))
+    return sales.cube(*dims).agg(total().cast("double").alias("revenue"), F.grouping_id().cast("long").alias("grouping"))
 
 
 def brand_top_parts(sales: DataFrame, k: int = 3) -> DataFrame:
     """The k best-selling parts of each brand."""
-    totals = sales.groupBy("brand", "part_key").agg(SUM.alias("exact"))
+    totals = sales.groupBy("brand", "part_key").agg(total().alias("exact"))
     place = F.row_number().over(W.partitionBy("brand").orderBy(F.desc("exact"), "part_key"))
     return totals.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("brand", "place", "part_key", F.col("exact").cast("double").alias("revenue"))
 
@@ -137,6 +139,6 @@ def brand_lapsed(sales: DataFrame, cutoff: str = "2000-01-01") -> DataFrame:
 
 def brand_concentration(sales: DataFrame, by: str = "region") -> DataFrame:
     """Sum of squared shares (Herfindahl index)."""
-    totals = sales.groupBy(by, "brand").agg(SUM.alias("exact"))
+    totals = sales.groupBy(by, "brand").agg(total().alias("exact"))
     share = F.col("exact").cast("double") / F.sum("exact").over(W.partitionBy(by)).cast("double")
     return totals.withColumn("share", share).groupBy(by).agg(F.round(F.sum(F.col("share") * F.col("share")), 6).alias("concentration"), F.count(F.lit(1)).alias("n_brands"))

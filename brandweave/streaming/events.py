@@ -6,6 +6,7 @@ in one place. ``run_stream`` drives a streaming DataFrame to the end of what is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -105,24 +106,37 @@ def spikes(events: DataFrame, z: float = 2.0, size: str = "1 day", least: int =
 
 
 def spike_stream(events: DataFrame, z: float = 2.0, size: str = "1 day", least: int = 3, late: str = "1 hour") -> DataFrame:
-    """The same over a stream, in append mode: a window is judged once it is closed.
+    """The same over a stream, in append mode: a window is judged once the watermark has passed it.
 
-    The state of a type is the number of its earlier windows, their sum and sum of squares.
+    The state of a type holds the number of its closed windows, their sum and sum of squares, and the
+    counts of its open windows; a timer at the end of the first open one closes it without new events.
     """
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    closed = counts.select(F.col("window.start").alias("start"), "event_type", "n")
+    width = int(pd.Timedelta(size).total_seconds() * 1000)
+    rows = events.withWatermark("ts", late).select("ts", "event_type")
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, total, squares = state.get if state.exists else (0, 0.0, 0.0)
+        seen, total, squares, held = state.get if state.exists else (0, 0.0, 0.0, "{}")
+        mark, counts = state.getCurrentWatermarkMs(), {int(k): n for k, n in json.loads(held).items()}
+        if not state.hasTimedOut:
+            for frame in frames:
+                starts = frame["ts"].astype("datetime64[ms]").astype("int64") // width * width
+                for start, n in starts.value_counts().items():
+                    if start + width > mark:
+                        counts[int(start)] = counts.get(int(start), 0) + int(n)
         out = []
-        for row in pd.concat(list(frames)).sort_values("start").itertuples():
+        for start in sorted(k for k in counts if k + width <= mark):
+            n = counts.pop(start)
             if seen >= least:
                 mean = total / seen
                 deviation = max(0.0, squares / seen - mean * mean) ** 0.5
-                if row.n > mean + z * deviation:
-                    out.append((row.start, key[0], row.n, round(mean, 6), round(deviation, 6)))
-            seen, total, squares = seen + 1, total + row.n, squares + float(row.n) ** 2
-        state.update((seen, total, squares))
+                if n > mean + z * deviation:
+                    out.append((pd.Timestamp(start, unit="ms"), key[0], n, round(mean, 6), round(deviation, 6)))
+            seen, total, squares = seen + 1, total + n, squares + float(n) ** 2
+        state.update((seen, total, squares, json.dumps(counts)))
+        if counts:
+            state.setTimeoutTimestamp(max(min(counts) + width, mark + 1))
         yield pd.DataFrame(out, columns=["start", "event_type", "n", "mean", "deviation"])
 
-    return closed.groupBy("event_type").applyInPandasWithState(judge, "start timestamp, event_type string, n long, mean double, deviation double", "seen long, total double, squares double", "append", "NoTimeout")
+    return rows.groupBy("event_type").applyInPandasWithState(
+        judge, "start timestamp, event_type string, n long, mean double, deviation double", "seen long, total double, squares double, open string", "append", "EventTimeTimeout"
+    )
