@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than ASCII white space (bytes 20 and 09-0D).
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _MASK = (1 << 64) - 1
 
 
@@ -46,6 +46,30 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that go when the block ends: what was made of them must be stored by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, fresh_path(spark, "scratch")
+        self.made = 0
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def stored(self, frame: DataFrame, name: str) -> DataFrame:
+        """As ``stored``, in this block's folder."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}-{name}"
+        frame.write.parquet(path)
+        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        # Hadoop's file systems, since whatever Spark can write to, they can delete from
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(text: Column | str = "text") -> Column:
     """The text's bytes; a null text counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
@@ -119,7 +143,7 @@ def hash_words(texts: list[bytes], kinds: np.ndarray = SPACE_CLASSES, fold: np.n
     """64-bit hashes of all words of all texts, in order, and the number of words of each text.
 
     A word is a longest run of bytes of one non-zero class of ``kinds``; ``fold`` maps bytes before
-    hashing. Texts are joined and worked on in pieces of about 1 MB, so that the temporary arrays
+    hashing. Texts are joined and worked on in pieces of about 256 KB, so that the temporary arrays
     stay small however long a text is; what is kept is 8 bytes a word.
     """
     counts = np.zeros(len(texts), dtype=np.int64)

@@ -4,8 +4,9 @@ Texts with equal shingle sets are one node. Shingles are ordered by how common t
 powers of two, from a table of counts over all documents with a fixed number of cells), then by a
 hash; several hashes give several global orders. Sets that reach the threshold share a token in
 their prefixes under every one of these orders. Nodes meet in the buckets of their prefix tokens
-under the first order; a pair stays if lengths and positions allow the overlap, and before its sets
-are compared it must share prefix tokens under all other orders too.
+under the first order; a pair stays if lengths and positions allow the overlap. Then its prefixes are
+compared, and before its sets are it must share enough prefix tokens under every order: what two
+prefixes have in common, and all that stands behind the one that ends first, bounds the overlap.
 
 Only components are asked for, so a pair inside a known component need not be compared. First, each
 bucket's node with the fewest rarer tokens is compared with the bucket's others, which links groups
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import hash_words, mix64, shingles, slices, stored, table, utf8
+from brandweave.llm.common import Scratch, hash_words, mix64, shingles, slices, stored, table, utf8
 from brandweave.llm.graph import components
 
 WIDTH = 5
@@ -168,13 +169,25 @@ def _sets(width: int, classes: np.ndarray, bits: np.ndarray):
     return run
 
 
+def prefixes_allow(x: np.ndarray, y: np.ndarray, n: int, m: int, threshold: tuple[int, int]) -> bool:
+    """Whether two prefixes under one order, of sets of n and m tokens, allow the threshold.
+
+    All common tokens up to the end of the prefix that ends first lie in both prefixes; behind it
+    its set has only the rest of its tokens.
+    """
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    rest = n - len(x) if x[-1] <= y[-1] else m - len(y)
+    return both > 0 and (both + rest) * sum(threshold) >= (n + m) * threshold[0]
+
+
 def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
     """Whether two ordered sets reach the threshold: prefixes under each order, then the overlap."""
-    p, q = prefix_length(len(x), threshold), prefix_length(len(y), threshold)
-    if not np.isin(x[:p], y[:q]).any():
+    n, m = len(x), len(y)
+    p, q = prefix_length(n, threshold), prefix_length(m, threshold)
+    if not prefixes_allow(x[:p], y[:q], n, m, threshold):
         return False
     for multiplier in ORDERS:
-        if not np.isin(reordered(x, multiplier)[:p], reordered(y, multiplier)[:q]).any():
+        if not prefixes_allow(reordered(x, multiplier)[:p], reordered(y, multiplier)[:q], n, m, threshold):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both * threshold[1] >= (len(x) + len(y) - both) * threshold[0]
@@ -190,6 +203,10 @@ def _bit_set(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp")))
+
+
 class Join:
     """One self-join: its documents, its order, and its comparisons."""
 
@@ -202,28 +219,45 @@ class Join:
         self.classes = _classes(sketch)
         self.common = max(COMMON_CLASS, int(np.median(self.classes)) + 3)
 
+        prefixes = self.texts.mapInArrow(_prefixes(width, threshold, self.classes), "fp long, n long, prefix array<long>")
+        self.nodes = stored(prefixes.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+
     def buckets(self) -> DataFrame:
         """(token, fp, n, pos, first_fp, first_n, first_pos) of all buckets of two nodes or more."""
-        prefixes = self.texts.mapInArrow(_prefixes(self.width, self.threshold, self.classes), "fp long, n long, prefix array<long>")
-        nodes = prefixes.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        rows = nodes.select("fp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+        rows = self.nodes.select("fp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
         common = F.shiftrightunsigned("token", 58) >= self.common
-        salt = F.when(common, F.pmod(F.xxhash64("fp"), F.lit(64))).otherwise(0)
         own = F.struct("pos", "fp", "n")
-        by = W.partitionBy("token", "salt")
-        counted = rows.withColumn("salt", salt).withColumn("size", F.count(F.lit(1)).over(by)).withColumn("first", F.min(own).over(by))
-        counted = stored(counted.where(common | (F.col("size") > 1)).select("token", "fp", "n", "pos", "first"), "buckets")
-        rare, often = counted.where(~common), counted.where(common)
-        firsts = often.groupBy("token").agg(F.min("first").alias("first"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("token", "first")
-        both = rare.unionByName(often.drop("first").join(firsts, "token"))
+        # dealt out before the structs are made, so that they are not shuffled beside their parts
+        by = W.partitionBy("token")
+        rare = rows.where(~common).repartition("token").withColumn("own", own)
+        rare = rare.withColumn("size", F.count(F.lit(1)).over(by)).withColumn("first", F.min("own").over(by)).where("size > 1")
+        often = rows.where(common)
+        firsts = often.groupBy("token").agg(F.min(own).alias("first"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("token", "first")
+        both = rare.select("token", "fp", "n", "pos", "first").unionByName(often.join(firsts, "token").select("token", "fp", "n", "pos", "first"))
         return both.select("token", "fp", "n", "pos", F.col("first.fp").alias("first_fp"), F.col("first.n").alias("first_n"), F.col("first.pos").alias("first_pos"))
 
+    def narrowed(self, pairs: DataFrame) -> DataFrame:
+        """The stored pairs (a, b) whose prefixes under the first order allow the threshold."""
+        bits, threshold = _bit_set(_ends(pairs)), self.threshold
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+                yield batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+        def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)), strict=True)
+                keep = [prefixes_allow(x.view(np.uint64), y.view(np.uint64), n, m, threshold) for n, x, m, y in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+        nodes = self.nodes.mapInArrow(asked, self.nodes.schema)
+        side = lambda end: nodes.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("prefix").alias(f"prefix_{end}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "prefix_a", "n_b", "prefix_b")
+        return stored(both.mapInArrow(allow, "a long, b long"), "narrowed")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that reach the threshold."""
-        nodes = pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp")))
-        sets = self.texts.mapInArrow(_sets(self.width, self.classes, _bit_set(nodes)), "fp long, tokens binary")
-        sets = stored(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
-        left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
         threshold = self.threshold
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,22 +265,35 @@ class Join:
                 keep = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-        joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
-        return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+        with Scratch(pairs.sparkSession) as scratch:
+            sets = self.texts.mapInArrow(_sets(self.width, self.classes, _bit_set(_ends(pairs))), "fp long, tokens binary")
+            sets = scratch.stored(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
+            left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
+            joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
+            return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
     def links(self) -> DataFrame:
         """Links (u, v) of nodes, enough of them to connect every component."""
-        buckets = self.buckets()
-        first = buckets.where(_passes(self.threshold, "", "first_") & (F.col("fp") != F.col("first_fp")))
-        # each node with the bucket leader with which it shares most; the others are met below
-        shared = first.groupBy("fp", "first_fp").agg(F.count(F.lit(1)).alias("tokens"))
+        with Scratch(self.texts.sparkSession) as scratch:
+            return self._links(scratch)
+
+    def _links(self, scratch: Scratch) -> DataFrame:
+        buckets = scratch.stored(self.buckets(), "buckets")
+        first = buckets.where(F.col("fp") != F.col("first_fp")).withColumn("passes", _passes(self.threshold, "", "first_"))
+        # each node with the leader that it shares most with, if that may be enough: the leader need
+        # not lead all buckets that the two share, so what is seen counts three times. Whatever is
+        # left out here is met below
+        t, s = self.threshold
+        behind = lambda n: F.ceil(F.col(n) * F.lit(t) / F.lit(s)) - 1
+        enough = (3 * F.count(F.lit(1)) + F.greatest(behind("n"), behind("first_n"))) * (s + t) >= (F.col("n") + F.col("first_n")) * t
+        shared = first.groupBy("fp", "first_fp", "n", "first_n").agg(F.count(F.lit(1)).alias("tokens"), enough.alias("enough"), F.max("passes").alias("passes")).where("enough and passes")
         best = shared.groupBy("fp").agg(F.max(F.struct("tokens", "first_fp")).alias("best"))
-        tested = stored(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")), "stars")
+        tested = scratch.stored(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")), "stars")
         stars = self.compare(tested)
         known = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
         placed = buckets.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        placed = stored(placed.select("token", "fp", "n", "pos", "label"), "placed")
+        placed = scratch.stored(placed.select("token", "fp", "n", "pos", "label"), "placed")
         mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
         left = placed.join(mixed, "token")
         names = ("fp", "n", "pos", "label")
@@ -254,7 +301,7 @@ class Join:
         pairs = a.join(b, "token").where((F.col("a_fp") < F.col("b_fp")) & (F.col("a_label") != F.col("b_label")) & _passes(self.threshold, "a_", "b_"))
         pairs = pairs.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self.compare(stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
+        rest = self.compare(self.narrowed(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")))
         return stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
