@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from brandweave.llm.common import stored, table
 
 #: The token sequence of one white-space separated chunk is remembered up to this many chunks.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Longer chunks are encoded each time.
 CHUNK = 64
 GROUP_PIECES = 60_000
