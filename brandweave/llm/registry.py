@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.OP6_SQL,
+    "op9_jaccard": jaccard.OP9_SQL,
 }
