@@ -13,6 +13,7 @@ their size, not the corpus.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,40 @@ TEMPLATES = (
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2.0"),
     ("reserved", "all rights reserved"),
     ("unlicense", "free and unencumbered software released into the public domain"),
+    ("bsd", "released under the bsd license"),
+    ("cc-by", "licensed under cc by 4.0"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4.0"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4.0"),
+    ("cc-by-nd", "licensed under cc by nd 4.0"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2"),
 )
+_GPL = r"\b(?:general public )?(?<!lesser general public )(?<!affero general public )(?<!library general public )license (?:either )?(?:version )?"
+#: What must stand in a template's block, over its lower-cased words joined by spaces. Templates that
+#: aren't here tell themselves apart by their length.
+NAMES = {
+    "licensed under the apache license version 2.0": r"\bapache\b.*\b2\b",
+    "licensed under cc by nc 4.0": r"\b(?:cc )?by nc\b(?! (?:sa|nd)\b)",
+    "licensed under cc by sa 4.0": r"\b(?:cc )?by sa\b",
+    "dedicated to the public domain under cc0 1.0 universal": r"\bcc0\b",
+    "licensed under the gnu general public license version 3": _GPL + r"3\b",
+    "released under the mit license": r"\bmit\b",
+    "subject to the terms of the mozilla public license version 2.0": r"\bmozilla\b.*\b2\b",
+    "free and unencumbered software released into the public domain": r"\bunencumbered\b",
+    "released under the bsd license": r"\bbsd\b",
+    "licensed under cc by 4.0": r"\bcc by\b(?! (?:nc|nd|sa)\b)",
+    "licensed under cc by nc nd 4.0": r"\b(?:cc )?by nc nd\b",
+    "licensed under cc by nc sa 4.0": r"\b(?:cc )?by nc sa\b",
+    "licensed under cc by nd 4.0": r"\b(?:cc )?by nd\b",
+    "licensed under the gnu general public license version 2": _GPL + r"2\b",
+}
+#: Words around a block that its name may reach into.
+AROUND = 3
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words are runs of ASCII digits and letters and of all bytes from 80 up.
 KINDS = classes(words=bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 SCANNED = (
-    "doc_id long, n_words long, places array<struct<label:string,start:long>>, "
-    "blocks array<struct<label:string,template:int,start:long,end:long,containment:double>>"
+    "doc_id long, n_words long, places array<struct<label:string,start:long,inside:boolean>>, "
+    "blocks array<struct<label:string,template:int,start:long,end:long,containment:double,named:boolean>>"
 )
 
 
@@ -124,17 +153,37 @@ def _blocks(template: _Template, places: np.ndarray, ranks: np.ndarray, n_words:
     return [(template.label, template.number, s, e, d / k) for s, e, d in out]
 
 
-def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def _named(text: bytes, blocks: list[tuple], places: list[tuple], names: list[re.Pattern | None]) -> tuple[list[tuple], list[tuple]]:
+    """Blocks with whether their license's name stands in them, and places with whether they are part
+    of the name of a more exact license."""
+    words = [w.lower().decode(errors="replace") for w in WORD.findall(text)]
+    inside, out = set(), []
+    for block in blocks:
+        label, number, start, end, _ = block
+        if (name := names[number]) is None:
+            out.append((*block, True))
+            continue
+        low = max(0, start - AROUND)
+        own = " ".join(words[low : end + AROUND])
+        found = [(low + own.count(" ", 0, m.start()), low + own.count(" ", 0, m.end())) for m in name.finditer(own)]
+        out.append((*block, bool(found)))
+        inside |= {(s, base) for s, base in places if label.startswith(base + "-") and any(a <= s <= b for a, b in found)}
+    return out, [(*p, p in inside) for p in places]
+
+
+def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = 0.8, names: dict[str, str] | None = None) -> DataFrame:
     """Per document: its number of words, the base phrases' places, and the template blocks.
 
-    ``places`` are (label, start) where a phrase's words stand consecutively, by start and label;
-    ``blocks`` are (label, template number, start, end, containment), where overlapping blocks of a
-    template are one run. Word places count from 0. A null or empty text has no words and empty
+    ``places`` are (label, start, inside) where a phrase's words stand consecutively, by start and
+    label; ``inside`` tells that they are part of a more exact license's name. ``blocks`` are (label,
+    template number, start, end, containment, named), where overlapping blocks of a template are one
+    run; ``named`` tells that the template's pattern of ``names``, if it has one, is met. Word places count from 0. A null or empty text has no words and empty
     lists; repeated rows, repeated or null doc_ids each give a row. Two words are equal when their
     64-bit hashes are.
     """
     phrases = PHRASES if phrases is None else phrases
     sets = [_words(text) for _, text in templates]
+    patterns = [re.compile(n) if (n := (NAMES if names is None else names).get(text)) else None for _, text in templates]
     phrase_words = [(_words(text), label) for text, label in phrases.items()]
     vocabulary = np.unique(np.concatenate([*sets, *(w for w, _ in phrase_words)]))
     counts = word_counts(documents, vocabulary)
@@ -172,13 +221,17 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | No
                     ranks = order[known[a:b]]
                     mine = ranks < 255
                     blocks.setdefault(i, []).extend(_blocks(t, here[a:b][mine] - begins[i], ranks[mine], int(n[i])))
+            rows = []
+            for i in range(len(n)):
+                own, base = sorted(blocks.get(i, []), key=lambda x: (x[2], x[1])), sorted(places.get(i, []))
+                rows.append(_named(part.column(1)[i].as_py(), own, base, patterns) if own else ([], [(*p, False) for p in base]))
             columns = [
                 part.column(0),
                 pa.array(n),
-                pa.array([[{"label": label, "start": s} for s, label in sorted(places.get(i, []))] for i in range(len(n))], type=pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))),
+                pa.array([[{"label": label, "start": s, "inside": inside} for s, label, inside in base] for _, base in rows], type=pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("inside", pa.bool_())]))),
                 pa.array(
-                    [[dict(zip(("label", "template", "start", "end", "containment"), x, strict=True)) for x in sorted(blocks.get(i, []), key=lambda x: (x[2], x[1]))] for i in range(len(n))],
-                    type=pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())])),
+                    [[dict(zip(("label", "template", "start", "end", "containment", "named"), x, strict=True)) for x in own] for own, _ in rows],
+                    type=pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64()), ("named", pa.bool_())])),
                 ),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "places", "blocks"])
@@ -186,10 +239,12 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | No
     return documents.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, SCANNED)
 
 
-def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses of every document: base phrases, labels of the method, best containment."""
-    found = scan(table(spark, sf_dir, "documents"))
+def with_labels(found: DataFrame) -> DataFrame:
+    """What op10_licenses gives of a scan: labels are those of named blocks, and of phrases but for
+    those inside the name of a more exact license."""
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    named = F.filter("blocks", lambda b: b["named"])
+    own = F.filter("places", lambda p: ~p["inside"])
     return found.select(
         "doc_id",
         "n_words",
@@ -197,7 +252,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min("places.start").alias("first_word"),
         F.array_max("places.start").alias("last_word"),
         labels(F.col("places.label")).alias("base_labels"),
-        labels(F.concat(F.col("places.label"), F.col("blocks.label"))).alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))).alias("score"),
+        labels(F.concat(F.transform(own, lambda p: p["label"]), F.transform(named, lambda b: b["label"]))).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(named, lambda b: b["containment"])), F.lit(0.0))).alias("score"),
         "blocks",
     )
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses of every document: base phrases, labels of the method, best containment."""
+    return with_labels(scan(table(spark, sf_dir, "documents")))

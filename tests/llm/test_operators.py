@@ -444,6 +444,29 @@ def test_license_scan_against_brute_force(spark):
         assert sorted((b.label, b.template, b.start, b.end, round(b.containment, 9)) for b in r.blocks) == sorted((*e[:4], round(e[4], 9)) for e in expected)
 
 
+def test_license_lines_get_their_own_label(spark):
+    lines = {
+        "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-NC 4.0": "cc-by-nc",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+        "Licensed under CC BY-NC 4.0 and CC BY 4.0": "cc-by,cc-by-nc",
+        "Licensed under the GNU General Public License version 2": "gpl-2.0",
+        "Licensed under the GNU General Public License, version 3": "gpl-3.0",
+        "Licensed under the GNU Lesser General Public License version 3": "gpl",
+        "released under the MIT license": "mit",
+        "released under the BSD license": "bsd",
+        "Licensed under the Apache License, Version 2.0": "apache-2.0",
+        "Licensed under the Mozilla Public License version 2.0": "",
+        "subject to the terms of the Eclipse Public License version 2.0": "",
+        "subject to the terms of the Mozilla Public License version 2.0": "mpl-2.0",
+        "Dedicated to the public domain under CC0 1.0 Universal": "cc0",
+    }
+    texts = [around.format(line) for line in lines for around in ("{}", "w1 w2 w3. {}. w4 w5 w6 w7")]
+    got = {r.doc_id: r.labels for r in licenses.with_labels(licenses.scan(documents(spark, texts))).collect()}
+    assert {texts[i]: got[i] for i in got} == {texts[i]: list(lines.values())[i // 2] for i in range(len(texts))}
+
+
 # the queries and the pipeline
 
 
