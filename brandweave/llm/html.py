@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -43,6 +44,8 @@ MARKS = re.compile(
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
+#: A comment's end after its '<!--': at once, or where browsers end it.
+COMMENT_END = re.compile(r"-?>|.*?--!?>", re.DOTALL)
 
 
 #: A name with one of these words tells of a layout, such as has-sidebar, not of the part itself.
@@ -65,6 +68,9 @@ class _Element:
 class _Lines(HTMLParser):
     """Lines of a page: (text, tags before and in it, characters in links, holder, dropped)."""
 
+    #: Elements whose text holds no tags and no comments; charrefs are read in two of them.
+    CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = _Element("", None, False)
@@ -151,9 +157,16 @@ class _Lines(HTMLParser):
                     x = x.parent
             self._pop_to(e)
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """The comment's end; an unfinished one takes the rest of the page, which is fed at once."""
+        end = COMMENT_END.match(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         if self.at.tag in SILENT:
             return
+        if self.cdata_elem in ("title", "textarea"):
+            data = unescape(data)
         if not self.parts or self.at.drop == self.holder.drop:
             e = self.at
             while e.parent is not None and not e.block:
@@ -181,8 +194,6 @@ def main_text(html: str | None, radius: int = 2) -> str:
     """The page's main text: blocks in page order, joined by a line feed; empty if there is none."""
     if not html:
         return ""
-    if (at := html.rfind("<!--")) >= 0 and html.find("-->", at) < 0:
-        html = html[:at]
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -249,7 +260,8 @@ def extract(pages: DataFrame, radius: int = 2) -> DataFrame:
     A null or empty page, or one without text, has an empty text. Repeated rows, repeated or null
     page_ids each give a row. Malformed markup is read as browsers do in the common cases: open
     paragraphs and list items end where the next begins, unmatched end tags are passed over, and an
-    unfinished tag or comment at the end is dropped.
+    unfinished tag or comment at the end is dropped. Comments end at '-->' or '--!>', and begin neither in
+    attribute values nor in scripts, styles, titles and the like.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,6 +118,17 @@ def test_main_text_of_an_awkward_page():
     assert html.main_text(page) == "A & B\nFirst paragraph, long enough to count among the other lines of this page. Next\nShort.\none\ntwo\nLast paragraph with much text to be found by smoothing of the ratios."
 
 
+def test_main_text_after_what_only_looks_like_a_comment():
+    body = "<p>First paragraph, long enough to count among the lines of this page.</p>{}<p>Second paragraph, with as much text as the first one had.</p>"
+    first, second = "First paragraph, long enough to count among the lines of this page.", "Second paragraph, with as much text as the first one had."
+    for head in ("<script><!-- var a; </script>", "<style><!-- p{}</style>", "<title>a <!-- b</title>"):
+        assert html.main_text(f"<html><head>{head}</head><body>{body.format('')}").splitlines() == [first, second]
+    for middle in ("<script>if(a<!--b)c()</script>", "<script>s='<!--'</script>", "<img alt='<!-- x'>", "<!-- x --!>", "<!-->", "<!--->", "<noscript><!-- a</noscript>"):
+        assert html.main_text(body.format(middle)).splitlines() == [first, second]
+    assert html.main_text(body.format("<!-- never closed > <b>")) == first
+    assert html.main_text(body.format("<!-- a -- > b --- c > <b> --><!-- x")) == first
+
+
 def test_main_text_of_given_pages(spark, sf_dir):
     from html import unescape
 
