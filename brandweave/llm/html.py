@@ -7,7 +7,9 @@ lines above a threshold (the smoothed ratios' standard deviation, or a share of
 clusters. The clusters vote, with their characters, for the elements that hold them; the innermost
 element with most of the votes is the content region. A page's short paragraphs lie in that region
 like its long ones, so all of the region's lines are kept, but for those in parts that are marked as
-menus, headers, footers, sidebars, notices, adverts, forms, or comments.
+menus, headers, footers, sidebars, notices, adverts, forms, or comments. A mark under which most of
+the page's text stands (a form around the page, widget containers) tells nothing there and is passed
+over.
 
 Each page is parsed by itself in the task that reads it.
 """
@@ -32,6 +34,8 @@ BLOCKS = frozenset(
 #: Elements whose text is never content; SILENT ones hold no page text at all.
 SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video map datalist".split())
 DROPPED = SILENT | frozenset("nav footer aside form button select textarea input fieldset menu dialog search label".split())
+#: Of these, the ones that may also wrap the whole page.
+WRAPPERS = frozenset("aside form fieldset dialog search label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open paragraph, and elements that a new one of the same kind ends.
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "optgroup", "option"}
@@ -52,29 +56,47 @@ COMMENT_END = re.compile(r"-?>|.*?--!?>", re.DOTALL)
 ABOUT = frozenset("has no with without layout enabled is".split())
 
 
-def _marked(token: str) -> bool:
+#: The share of a page's characters outside links that must stand under a mark for it to be passed
+#: over: half, more for words that seldom name wrappers, and nearly all for discussions, which are
+#: often longer than the article.
+SHARE, LOUD_SHARE, TALK_SHARE = 0.5, 0.75, 0.95
+TALK = re.compile(r"^(?:comments?|disqus|replies|respond)$")
+LOUD = re.compile(
+    r"^(?:<aside>|<dialog>|<header>|ad.*|banner|sponsor.*|nav.*|menus?|breadcrumbs?|sidebars?|foot.*|contentinfo|cookies?|consent|gdpr|newsletter|subscri.*|signup|login|related|recommend.*|pagination|pager|copyright|legal)$"
+)
+#: An article or main element with this share of the page in unmarked text, and with more of it than
+#: it holds under a mark, keeps that mark.
+ARTICLE_SHARE = 0.2
+
+
+def _marked(token: str) -> set[str]:
+    """The words of a name that mark what is not the article."""
     words = [w.lower() for w in WORDS.findall(token)]
-    return not ABOUT.intersection(words) and any(MARKS.match(w) for w in words)
+    return set() if ABOUT.intersection(words) else {w for w in words if MARKS.match(w)}
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "drop", "votes", "depth", "block")
+    __slots__ = ("tag", "parent", "silent", "marks", "votes", "depth", "block")
 
-    def __init__(self, tag: str, parent: "_Element | None", drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: "_Element | None", silent: bool, marks: frozenset[str]):
+        self.tag, self.parent, self.silent, self.marks = tag, parent, silent, marks
         self.votes, self.depth, self.block = 0, parent.depth + 1 if parent else 0, tag in BLOCKS
 
+    def like(self, other: "_Element") -> bool:
+        """Whether the two are dropped for the same reasons."""
+        return self.silent == other.silent and self.marks == other.marks
+
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags before and in it, characters in links, holder, dropped)."""
+    """Lines of a page: (text, tags before and in it, characters in links, holder)."""
 
     #: Elements whose text holds no tags and no comments; charrefs are read in two of them.
     CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Element("", None, False)
-        self.lines: list[tuple[str, int, int, _Element, bool]] = []
+        self.root = self.at = _Element("", None, False, frozenset())
+        self.lines: list[tuple[str, int, int, _Element]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
         self.holder = self.root
@@ -82,14 +104,14 @@ class _Lines(HTMLParser):
     def _end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.holder, self.holder.drop))
+            self.lines.append((text, self.tags, self.linked, self.holder))
             self.tags = 0
         self.parts, self.linked = [], 0
 
     def _pop_to(self, element: _Element) -> None:
         """Closes the element and all that is open in it."""
         while self.at is not element.parent:
-            if self.at.block or self.at.drop:
+            if self.at.block or not self.at.like(self.at.parent):
                 self._end_line()
             self.links -= self.at.tag == "a"
             self.at = self.at.parent
@@ -114,32 +136,36 @@ class _Lines(HTMLParser):
             elif tag == "br":
                 self.parts.append(" ")
             return
-        drop = self.at.drop or self._dropped(tag, attrs)
-        if tag in BLOCKS or drop != self.at.drop:
+        own = self._dropped(tag, attrs)
+        made = _Element(tag, self.at, self.at.silent or own is None, self.at.marks | own if own else self.at.marks)
+        if tag in BLOCKS or not made.like(self.at):
             self._end_line()
-        self.at = _Element(tag, self.at, drop)
+        self.at = made
         self.links += tag == "a"
         if tag in ("script", "style"):
             self.tags += 1
 
-    def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in DROPPED:
-            return True
+    def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> set[str] | None:
+        """The element's own marks; None if it is never content."""
+        if tag in DROPPED and tag not in WRAPPERS:
+            return None
+        marks = {f"<{tag}>"} if tag in WRAPPERS else set()
         if tag == "header":
             # An article's own header, as opposed to the page's, is part of the article.
             e = self.at
             while e is not None and e.tag not in ("article", "main", "section"):
                 e = e.parent
-            return e is None
+            return {"<header>"} if e is None else marks
         if tag in ("html", "body", "main", "article"):
             own = dict(attrs)
-            return tag == "article" and bool(re.search(r"(?i)\bcomment|\brepl(?:y|ies)\b", f"{own.get('class') or ''} {own.get('id') or ''}"))
+            return {"comments"} if tag == "article" and re.search(r"(?i)\bcomment|\brepl(?:y|ies)\b", f"{own.get('class') or ''} {own.get('id') or ''}") else marks
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
-                return True
-            if name in ("class", "id", "role") and value and any(_marked(token) for token in value.split()):
-                return True
-        return False
+                return None
+            if name in ("class", "id", "role") and value:
+                for token in value.split():
+                    marks |= _marked(token)
+        return marks
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -167,17 +193,16 @@ class _Lines(HTMLParser):
             return
         if self.cdata_elem in ("title", "textarea"):
             data = unescape(data)
-        if not self.parts or self.at.drop == self.holder.drop:
+        if not self.parts:
             e = self.at
             while e.parent is not None and not e.block:
                 e = e.parent
-            if not self.parts:
-                self.holder = e if e.drop == self.at.drop else self.at
+            self.holder = e if e.like(self.at) else self.at
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
 
-    def done(self) -> list[tuple[str, int, int, _Element, bool]]:
+    def done(self) -> list[tuple[str, int, int, _Element]]:
         self._end_line()
         return self.lines
 
@@ -197,8 +222,9 @@ def main_text(html: str | None, radius: int = 2) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.done()
-    open_lines = [(text, tags, linked, holder) for text, tags, linked, holder, drop in lines if not drop]
+    lines = [line for line in parser.done() if not line[3].silent]
+    passed = _passed_over(lines)
+    open_lines = [line for line in lines if line[3].marks <= passed]
     if not open_lines:
         return ""
     sizes = np.array([max(0, len(text) - linked) for text, _, linked, _ in open_lines], dtype=float)
@@ -223,6 +249,30 @@ def main_text(html: str | None, radius: int = 2) -> str:
     return "\n".join(text for text, _, _, holder in open_lines if _within(holder, region))
 
 
+def _passed_over(lines) -> set[str]:
+    """Marks under which most of the page's characters outside links stand."""
+    sizes = [max(0, len(text) - linked) for text, _, linked, _ in lines]
+    total, under = sum(sizes), {}
+    for size, (_, _, _, e) in zip(sizes, lines, strict=True):
+        for mark in e.marks:
+            under[mark] = under.get(mark, 0) + size
+    most = {m for m, n in under.items() if n > total * (TALK_SHARE if TALK.match(m) else LOUD_SHARE if LOUD.match(m) else SHARE)}
+    if not most:
+        return most
+    plain: dict[_Element, int] = {}
+    held: dict[tuple[_Element, str], int] = {}
+    for size, (_, _, _, e) in zip(sizes, lines, strict=True):
+        marks = e.marks
+        while e is not None:
+            if e.tag in ("article", "main"):
+                if not marks:
+                    plain[e] = plain.get(e, 0) + size
+                for mark in marks:
+                    held[e, mark] = held.get((e, mark), 0) + size
+            e = e.parent
+    return {m for m in most if not any(n >= total * ARTICLE_SHARE and n > held.get((e, m), 0) for e, n in plain.items())}
+
+
 def _within(e: _Element | None, region: _Element) -> bool:
     while e is not None and e.depth >= region.depth:
         if e is region:

@@ -129,6 +129,31 @@ def test_main_text_after_what_only_looks_like_a_comment():
     assert html.main_text(body.format("<!-- a -- > b --- c > <b> --><!-- x")) == first
 
 
+def test_main_text_in_marked_wrappers():
+    texts = [f"Paragraph {i} of the article, long enough to count <b>among</b> the lines of this page." for i in range(4)]
+    paragraphs = "".join(f"<p>{t}</p>" for t in texts)
+    article = "\n".join(re.sub("</?b>", "", t) for t in texts)
+    menu, note = "<nav><a href=x>Menu</a></nav>", "<div class='cookie-notice'>We use cookies and you must accept all of them.</div>"
+    foot = "<div class='comments'><p>I do not agree with this article at all.</p></div><footer>All about us and what we do.</footer>"
+    for start, end in (
+        ("<form id=f action=/>", "</form>"),
+        ("<form><fieldset>", "</fieldset></form>"),
+        ("<div class='elementor-widget'><div class='elementor-widget-container'>", "</div></div>"),
+        ("<div class='side-by-side'>", "</div>"),
+        ("<div id='search-result'>", "</div>"),
+        ("<div class='legal-text'>", "</div>"),
+    ):
+        assert html.main_text(f"<html><body>{start}{menu}{note}<div>{paragraphs}</div>{foot}{end}</body></html>") == article
+        assert html.main_text(f"<html><body>{menu}{note}{start}{paragraphs}{end}{foot}</body></html>") == article
+    widgets = "".join(f"<div class='elementor-widget-container'><p>{t}</p></div>" for t in texts)
+    assert html.main_text(f"<body>{menu}<main>{widgets}</main>{foot}</body>") == article
+    talk = "<div class='comments'>" + "<p>I do not agree with this article at all and say so at length.</p>" * 12 + "</div>"
+    legal = "<div class='legal'>" + "<p>No part of this page may be copied in any form or by any means.</p>" * 9 + "</div>"
+    assert html.main_text(f"<body>{menu}<div>{paragraphs}</div>{talk}</body>") == article
+    assert html.main_text(f"<body>{menu}<article>{paragraphs}</article>{legal}</body>") == article
+    assert html.main_text(f"<body>{menu}<div>{paragraphs}</div><form>Mail <label>Your address</label></form></body>") == article
+
+
 def test_main_text_of_given_pages(spark, sf_dir):
     from html import unescape
 
