@@ -166,6 +166,25 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    n: frozenset(codes.split())
+    for n, codes in {
+        15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BF BJ CI CM FR GR IT MC MG ML MR SM SN", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+
+
+def _iban_ends(text: str, start: int) -> list[int]:
+    """Where an IBAN may end whose pattern has taken this text: the end by its country's length first,
+    then the ends of its groups, the last first."""
+    ends = [i for i in range(len(text), 0, -1) if i == len(text) or text[i] == " "]
+    own = next((n for n, codes in IBAN_LENGTHS.items() if text[:2] in codes), 0)
+    return [start + i for i in sorted(ends, key=lambda i: i - text.count(" ", 0, i) != own)]
+
+
 def _iban(m: re.Match, key: bytes) -> str | None:
     raw = m["iban"].replace(" ", "").upper()
     if not 15 <= len(raw) <= 34 or _mod97(raw[4:] + raw[:4]) != 1:
@@ -228,14 +247,19 @@ def replace(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[str, int,
     original text."""
     if not HINT.search(text):
         return text, []
-    out, found, at = [], [], 0
-    for m in PATTERN.finditer(text):
+    out, found, at, start = [], [], 0, 0
+    while m := PATTERN.search(text, start):
         kind = next(k for k in KINDS if m[k] is not None)
-        new = _pseudonym(kind, m[0], key)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            found.append((kind, m.start(), m.end() - m.start()))
+        for end in _iban_ends(m[0], m.start()) if kind == "iban" else (m.end(),):
+            new = _pseudonym(kind, text[m.start() : end], key)
+            if new is not None:
+                out += [text[at : m.start()], new]
+                at = start = end
+                found.append((kind, m.start(), end - m.start()))
+                break
+        else:
+            # What failed its check may hold other values.
+            start = m.start() + 1
     return ("".join(out) + text[at:] if found else text), found
 
 

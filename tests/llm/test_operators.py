@@ -104,6 +104,21 @@ def test_pseudonyms_keep_formats_and_links():
     assert pii.replace(clean) == (clean, [])
 
 
+def test_ibans_before_other_words_and_values_inside_failed_matches():
+    for text, iban in (
+        ("Pay ES9121000418450200051332 OK", "ES9121000418450200051332"),
+        ("BE68 5390 0754 7034 2024", "BE68 5390 0754 7034"),
+        ("AT61 1904 3002 3457 3201 IBAN A1", "AT61 1904 3002 3457 3201"),
+        ("AB13 BE68 5390 0754 7034 XY", "BE68 5390 0754 7034"),
+        ("DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00"),
+    ):
+        out, found = pii.replace(text)
+        assert found == [("iban", text.index(iban), len(iban))]
+        assert out[: text.index(iban)] == text[: text.index(iban)] and out[text.index(iban) + len(iban) :] == text[text.index(iban) + len(iban) :]
+        assert iban not in out and pii.replace(out)[1] == found
+    assert [k for k, _, _ in pii.replace("AB12 4078 9189 8954 2222")[1]] == ["card"]
+
+
 # main text
 
 
