@@ -5,6 +5,8 @@ permuted by a keyed Feistel network within the values of the same format: a card
 another valid card number of its length, a date another date in its notation. The permutation
 depends on the kind of value alone, so equal values, however they are punctuated, have equal
 pseudonyms in all documents, and different values different ones. Who holds the key can undo it.
+Dates have a day, a month in digits or by its English, German, French or Spanish name, and a year;
+two-digit years stand for 1930 to 2029 and are permuted among themselves. A time after a date stays.
 
 Values are replaced inside the tasks that read the texts; nothing is shuffled or gathered.
 """
@@ -194,24 +196,105 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     return "".join(c if c == " " else next(made) for c in m["iban"])
 
 
+#: Full and short month names; alternatives are read, the first is written.
+MONTHS = {
+    "en": ("January February March April May June July August September October November December", "Jan Feb Mar Apr May Jun Jul Aug Sep|Sept Oct Nov Dec"),
+    "de": ("Januar|J\u00e4nner Februar M\u00e4rz|Maerz April Mai Juni Juli August September Oktober November Dezember", "Jan Feb M\u00e4r Apr Mai Jun Jul Aug Sep|Sept Okt Nov Dez"),
+    "fr": ("janvier f\u00e9vrier|fevrier mars avril mai juin juillet ao\u00fbt|aout septembre octobre novembre d\u00e9cembre|decembre", "janv f\u00e9vr|fevr mars avr mai juin juil ao\u00fbt sept oct nov d\u00e9c"),
+    "es": ("enero febrero marzo abril mayo junio julio agosto septiembre|setiembre octubre noviembre diciembre", "ene feb mar abr may jun jul ago sep|sept oct nov dic"),
+}
+#: By language, for full and short names: the names written, and the month of each name read.
+_NAMES = {
+    language: [([month.split("|")[0] for month in names.split()], {name.lower(): i + 1 for i, month in enumerate(names.split()) for name in month.split("|")}) for names in both]
+    for language, both in MONTHS.items()
+}
+_MONTH = "(?i:" + "|".join(sorted({name for both in _NAMES.values() for _, read in both for name in read}, key=lambda x: (-len(x), x))) + ")"
+_DAY = r"\d{1,2}(?:st|nd|rd|th|er|\u00ba|\.)?"
+_YEAR = r"(?:\d{4}|['\u2019]\d{2})"
+#: Day, month's name and year in their usual orders.
+DAY_FIRST = rf"{_DAY}(?:[ ](?:of[ ]|de[ ])?{_MONTH}\.?,?[ ](?:del?[ ])?{_YEAR}|-{_MONTH}-(?:\d{{4}}|\d{{2}}))"
+MONTH_FIRST = rf"{_MONTH}\.?[ ]{_DAY},?[ ]{_YEAR}"
+YEAR_FIRST = rf"\d{{4}}[ -]{_MONTH}[ -]\d{{1,2}}"
+#: A year of two digits is one of these hundred.
+FIRST_SHORT, LAST_SHORT = datetime.date(1930, 1, 1).toordinal(), datetime.date(2029, 12, 31).toordinal()
+
+
+def _year(text: str) -> int:
+    year = int(text)
+    return year if len(text) != 2 else year + (1900 if year >= 30 else 2000)
+
+
+def _new_day(day: int, short: bool, key: bytes, valid: Callable[[datetime.date], bool] | None = None) -> datetime.date | None:
+    """The day that takes a day's place, among those that years of four or two digits can name."""
+    first, last, kind = (FIRST_SHORT, LAST_SHORT, "date2") if short else (FIRST_DAY, LAST_DAY, "date")
+    if not first <= day <= last:
+        return None
+    check = (lambda n: valid(datetime.date.fromordinal(first + n))) if valid else None
+    return datetime.date.fromordinal(first + permute(day - first, last - first + 1, key, kind, check))
+
+
+def _read(order: str, parts: tuple[str, ...]) -> int | None:
+    named = dict(zip(order, parts, strict=True))
+    try:
+        return datetime.date(_year(named["y"]), int(named["m"]), int(named["d"])).toordinal()
+    except ValueError:
+        return None
+
+
 def _date(m: re.Match, key: bytes) -> str | None:
+    if m["d1"] is None:
+        return _named_date(m["date"], key)
     a, sep, b, c = m["d1"], m["ds"], m["d2"], m["d3"]
+    short = max(len(a), len(c)) < 4
     orders = ("ymd",) if len(a) == 4 else ("dmy", "mdy") if sep == "." else ("mdy", "dmy")
-    for order in orders:
-        named = dict(zip(order, (a, b, c), strict=True))
-        try:
-            day = datetime.date(int(named["y"]), int(named["m"]), int(named["d"])).toordinal()
-        except ValueError:
+    if short:
+        # A year has two digits, so that versions and the like are not dates.
+        orders = tuple(o for o in (*orders, *(("ymd",) if sep != "." else ())) if len((a, b, c)[o.index("y")]) == 2)
+    for k, order in enumerate(orders):
+        if (day := _read(order, (a, b, c))) is None:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
-            return None
-        # A month-first date stays readable as one only with its own order, so that order is kept.
-        new = datetime.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
-        width = {k: len(v) if v[0] == "0" or len(v) > 1 else 1 for k, v in named.items()}
-        return sep.join(f"{getattr(new, {'y': 'year', 'm': 'month', 'd': 'day'}[k]):0{width[k]}d}" for k in order)
+        width = {x: len(v) if v[0] == "0" or len(v) > 1 else 1 for x, v in zip(order, (a, b, c), strict=True)}
+        spell = lambda new: tuple(f"{ {'y': new.year % 100 if short else new.year, 'm': new.month, 'd': new.day}[x]:0{width[x]}d}" for x in order)  # noqa: B023, E731
+        # A month-first date stays readable as one only with its own order, so that order is kept;
+        # with two digits, the new date is also one that no earlier order reads.
+        valid = (lambda new: all(_read(o, spell(new)) is None for o in orders[:k])) if short else None  # noqa: B023
+        new = _new_day(day, short, key, valid)
+        return None if new is None else sep.join(spell(new))
     return None
 
 
+def _named_date(text: str, key: bytes) -> str | None:
+    """A date with a month's name, which keeps its language, length and case."""
+    name = re.search(rf"(?<![^\W\d_]){_MONTH}(?![^\W\d_])", text)
+    numbers = list(re.finditer(r"\d+", text))
+    year_at, day_at = (0, 1) if len(numbers[0][0]) == 4 else (1, 0)
+    written, year, old = name[0], numbers[year_at][0], numbers[day_at]
+    languages = ("de", "en", "fr", "es") if text[old.end() : old.end() + 1] == "." else ("fr", "es", "en", "de") if written[0].islower() else ("en", "de", "fr", "es")
+    if re.search(r"\bdel?\b", text):
+        languages = ("es", *languages)
+    names, month = next((names, read[written.lower()]) for style in (0, 1) for language in languages for names, read in [_NAMES[language][style]] if written.lower() in read)
+    short = len(year) == 2
+    try:
+        day = datetime.date(_year(year), month, int(old[0])).toordinal()
+    except ValueError:
+        return None
+    if (new := _new_day(day, short, key)) is None:
+        return None
+    spelled = names[new.month - 1]
+    spelled = spelled.upper() if written.isupper() and len(written) > 1 else spelled.lower() if written[0].islower() else spelled[0].upper() + spelled[1:]
+    ending = re.match(r"st|nd|rd|th|er|", text[old.end() :])[0]
+    after = old.end() + len(ending)
+    if ending == "er":
+        ending = "er" if new.day == 1 else ""
+    elif ending:
+        ending = "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+    width = 2 if len(old[0]) == 2 else 1
+    parts = [(old.start(), after, f"{new.day:0{width}d}{ending}"), (*name.span(), spelled), (*numbers[year_at].span(), f"{new.year % 100:02d}" if short else str(new.year))]
+    for start, end, value in sorted(parts, reverse=True):
+        text = text[:start] + value + text[end:]
+    return text
+
+
 def _secret(m: re.Match, key: bytes) -> str | None:
     whole, value = m["secret"], m["value"]
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
@@ -233,7 +316,9 @@ PATTERN = re.compile(
     |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}|\+(?!1[ (.-])\d{2,3}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?!\d))
     |(?P<card>(?<!\d)(?:\d{12,19}|\d{4}(?P<c1>[ -])\d{4}(?P=c1)\d{4}(?P=c1)\d{1,7}|\d{4}(?P<c2>[ -])\d{6}(?P=c2)\d{5})(?!\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<date>(?<![\w./-])(?P<d1>\d{4}|\d{1,2})(?P<ds>[./-])(?P<d2>\d{1,2})(?P=ds)(?P<d3>\d{4}|\d{1,2})(?![\w/-]|\.\d))
+    |(?P<date>(?<![\w./-])(?:(?<![Vv]ersion[ ])(?<![Rr]elease[ ])(?P<d1>\d{4}|\d{1,2})(?P<ds>[./-])(?P<d2>\d{1,2})(?P=ds)(?P<d3>\d{4}|\d{1,2})(?!(?![Tt]\d\d:?\d\d)[\w/-]|\.\d)|(?:"""
+    + f"{YEAR_FIRST}|{DAY_FIRST}|{MONTH_FIRST}"
+    + r""")(?!\w)))
     |(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w))
     |(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))""",
     re.VERBOSE,

@@ -119,6 +119,24 @@ def test_ibans_before_other_words_and_values_inside_failed_matches():
     assert [k for k, _, _ in pii.replace("AB12 4078 9189 8954 2222")[1]] == ["card"]
 
 
+def test_dates_with_short_years_times_and_month_names():
+    for text in ("05/03/84", "25/12/84", "5.3.84", "84-05-03", "03-May-84", "3 May 1984", "May 3rd, 1984", "Sept. 3, 1984", "MAY 3, 1984", "3. M\u00e4rz 1984", "1er mai 1984", "3 de mayo de 1984", "1984-May-03", "1984-05-03"):
+        out, found = pii.replace(f"born {text}, here")
+        assert found == [("date", 5, len(text))] and text not in out, text
+        again = pii.replace(out)[1]
+        assert len(again) == 1 and again[0][0] == "date" and again[0][2] == len(out) - 11, out
+    for text in ("1984-05-03T10:00", "1984-05-03T10:00:00Z", "1984-05-03 10:00"):
+        out, found = pii.replace(text)
+        assert found == [("date", 0, 10)] and out[10:] == text[10:] and out[:10] == pii.replace("1984-05-03")[0]
+    year, month, day = pii.replace("1984-05-03")[0].split("-")
+    months = pii.MONTHS["en"][0].split()
+    assert pii.replace("May 3, 1984")[0] == f"{months[int(month) - 1]} {int(day)}, {year}"
+    days = [f"{d:02d}/{m:02d}/84" for m in range(1, 13) for d in range(1, 29)]
+    assert len({pii.replace(d)[0] for d in days}) == len(days)
+    for clean in ("version 1.2.3", "version 3.10.12", "May 3, 20 people", "in May 1984", "31/31/84", "2024-05-03TX"):
+        assert pii.replace(clean) == (clean, [])
+
+
 # main text
 
 
