@@ -1,8 +1,8 @@
 """Vector best-fit packing of tokenized documents into sequences.
 
 Documents are tokenized where they are read; what moves on is one small row for each piece. Pieces
-are dealt by hash into groups of bounded size, and each group is packed by itself, so a group's
-bins are the unit of work however large the corpus is. A group of tens of thousands of pieces
+are dealt by hash, or in the order of stored rows, into groups of bounded size, and each group is
+packed by itself, so a group's bins are the unit of work however large the corpus is. A group of tens of thousands of pieces
 leaves at most a few bins that are not full, far under one in a thousand.
 
 A bin has three residual capacities: tokens, documents and attention cost (the sum of squared piece
@@ -31,6 +31,10 @@ REMEMBERED = 250_000
 CHUNK = 64
 GROUP_PIECES = 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+ORDER = ", file string, row long"
+PIECE_NAMES = [c.split()[0] for c in PIECES.split(", ")]
+#: Rows of a file whose pieces are counted together to deal groups in order.
+BLOCK_ROWS = 8192
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
@@ -117,12 +121,13 @@ class Encoder:
         return b"".join(out)
 
 
-def tokenized_pieces(documents: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int | None = 2) -> DataFrame:
+def tokenized_pieces(documents: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int | None = 2, ordered: bool = False) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32.
 
     A null text is empty; it still has its end token. Only documents of more than ``max_tokens``
     are cut: all pieces but the first have ``max_tokens`` ids. Rows with the same or a null doc_id
-    are separate documents.
+    are separate documents. ``ordered`` adds the file and the row that the document was read from; it
+    needs documents that are read from files.
     """
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     step = 4 * max_tokens
@@ -131,16 +136,20 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, max_tokens: int = 102
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            source: list[int] = []
+            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 ids = encoder.ids(text.as_py() or "") + end
                 head = len(ids) % step or min(step, len(ids))
                 cuts = [0, *range(head, len(ids) + 1, step)] if ids else []
                 rows += [(doc_id, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+                source += [i] * (len(rows) - len(source))
             columns = zip(*rows) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            made = [pa.array(c, type=t) for c, t in zip(columns, kinds)] + [c.take(pa.array(source, type=pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32", "file", "row"][: len(made)])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    read = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")] if ordered else []
+    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *read).mapInArrow(run, PIECES + ORDER if ordered else PIECES)
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_documents: int, max_cost: int, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -205,19 +214,45 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_documents: int, max_cost:
     return chosen, place
 
 
+def _in_order(pieces: DataFrame, group_pieces: int) -> tuple[DataFrame, int]:
+    """The pieces with ``at``, their document's place in the order of files and rows, and ``group``, runs
+    of that order with about as many pieces each; and the number of groups."""
+    block, inside = F.floor(F.col("row") / BLOCK_ROWS).cast("long"), F.col("row") % BLOCK_ROWS
+    pieces = pieces.withColumn("block", block)
+    found = sorted(tuple(r) for r in pieces.groupBy("file", "block").agg(F.max(inside).alias("last"), F.count(F.lit(1)).alias("n")).collect())
+    places, before = [], 0
+    for number, (file, block, last, n) in enumerate(found):
+        places.append((file, block, number, before, n / (last + 1)))
+        before += n
+    groups = max(1, -(-before // group_pieces))
+    places = pieces.sparkSession.createDataFrame(places, "file string, block long, number long, before long, density double")
+    index = F.col("before") + inside * F.col("density")
+    joined = pieces.join(F.broadcast(places), ["file", "block"])
+    joined = joined.withColumn("at", F.col("number") * BLOCK_ROWS + inside).withColumn("group", F.least(F.floor(index * groups / max(1, before)), F.lit(groups - 1)).cast("int"))
+    return joined.select(*PIECE_NAMES, "at", "group"), groups
+
+
 def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "residual", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to stored pieces.
 
     ``max_documents`` and ``max_cost`` default to values that any bin of ``max_tokens`` meets. The
     number of groups follows the number of pieces; a piece's group is a hash of all its columns, so
-    repeated rows and hot doc_ids spread like others. An empty input gives an empty result. A piece
+    repeated rows and hot doc_ids spread like others. Pieces with a file and a row are dealt in that
+    order instead, and sequences are numbered by the mean place of their pieces within the group's run
+    of it; groups follow each other. An empty input gives an empty result. A piece
     that no empty bin can take is an error.
     """
     documents, cost = max_documents or max_tokens, max_cost or max_tokens**2
     if rule not in ("residual", "dot"):
         raise ValueError(f"unknown rule {rule!r}")
-    total = pieces.count()
-    groups = max(1, -(-total // group_pieces))
+    ordered = "row" in pieces.columns
+    if ordered:
+        pieces, groups = _in_order(pieces, group_pieces)
+    else:
+        groups = max(1, -(-pieces.count() // group_pieces))
+        group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)).cast("int")
+        pieces = pieces.withColumn("group", group)
+    ties = ["at", "piece"] if ordered else ["doc_id", "piece", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -228,18 +263,21 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None =
         if rows.column("length").to_numpy().max() > max_tokens or rows.column("length").to_numpy().max() ** 2 > cost:
             raise ValueError("a piece is larger than an empty sequence")
         for g in np.unique(group):
-            own = rows.filter(pa.array(group == g)).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            own = rows.filter(pa.array(group == g)).sort_by([("length", "descending"), *((c, "ascending") for c in ties)])
             bins, places = best_fit(own.column("length").to_numpy(), max_tokens, documents, cost, weights, rule)
-            own = own.drop_columns(["group"]).append_column("sequence_id", pa.array(bins + (int(g) << 32))).append_column("offset", pa.array(places))
+            if ordered:
+                at = own.column("at").to_numpy()
+                bins = np.argsort(np.argsort(np.bincount(bins, at - at.min()) / np.bincount(bins), kind="stable"))[bins]
+            own = own.select(PIECE_NAMES).append_column("sequence_id", pa.array(bins + (int(g) << 32))).append_column("offset", pa.array(places))
             yield from own.to_batches()
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)).cast("int")
-    return pieces.withColumn("group", group).repartition(groups, "group").mapInArrow(run, PACKED)
+    return pieces.repartition(groups, "group").mapInArrow(run, PACKED)
 
 
-def pack_documents(documents: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024, end_id: int | None = 2, **limits) -> DataFrame:
-    """Tokenizes, cuts and packs documents: one row for each piece."""
-    pieces = tokenized_pieces(documents, tokenizer or default_tokenizer(), max_tokens, end_id)
+def pack_documents(documents: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024, end_id: int | None = 2, ordered: bool = False, **limits) -> DataFrame:
+    """Tokenizes, cuts and packs documents: one row for each piece. ``ordered`` lets sequences follow
+    the order of the files and rows that documents are read from."""
+    pieces = tokenized_pieces(documents, tokenizer or default_tokenizer(), max_tokens, end_id, ordered)
     return pack(stored(pieces, "pieces"), max_tokens, **limits)
 
 

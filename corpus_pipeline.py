@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences."""
-    return packing.pack_documents(docs)
+    """Packs the tokens of all documents into sequences, which follow the order of the stored mix."""
+    return packing.pack_documents(docs, ordered=True)
 
 
 STAGES = [

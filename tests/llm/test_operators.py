@@ -392,6 +392,25 @@ def test_pieces_and_sequences(spark):
     assert len(by_sequence) <= least * 1.05 + 3
 
 
+def test_sequences_follow_the_order_of_stored_rows(spark):
+    texts = random_texts(600, 16, low=0, high=300)
+    # Ids in no order, so that only files and rows tell the order; the same document comes twice.
+    order = random.Random(17).sample(range(600), 600) * 2
+    rows = spark.createDataFrame([(k, i, texts[i]) for k, i in enumerate(order)], "k long, doc_id long, text string")
+    stored = common.stored(rows.repartitionByRange(3, "k").sortWithinPartitions("k").drop("k"), "mix")
+    packed = packing.pack_documents(stored, ordered=True, group_pieces=100).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(order)
+    groups = collections.defaultdict(list)
+    for r in packed:
+        if r.piece == 0:
+            groups[r.sequence_id >> 32].append(r.doc_id)
+    at = 0
+    for g in sorted(groups):
+        assert collections.Counter(groups[g]) == collections.Counter(order[at : at + len(groups[g])])
+        at += len(groups[g])
+    assert len(groups) > 10 and max(map(len, groups.values())) < 200
+
+
 @pytest.mark.parametrize("rule", ["residual", "dot"])
 def test_best_fit_meets_every_constraint(rule):
     lengths = np.sort(np.random.default_rng(11).integers(1, 101, 800))[::-1]
