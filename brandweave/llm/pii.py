@@ -5,8 +5,14 @@ permuted by a keyed Feistel network within the values of the same format: a card
 another valid card number of its length, a date another date in its notation. The permutation
 depends on the kind of value alone, so equal values, however they are punctuated, have equal
 pseudonyms in all documents, and different values different ones. Who holds the key can undo it.
+Where a format has values of several classes (public and other addresses, phone numbers that exist
+and others, days up to the 12th and later ones, by which notations are told apart), each class is
+permuted by itself, so the whole stays a permutation; the class is all that shows.
+
 Dates have a day, a month in digits or by its English, German, French or Spanish name, and a year;
-two-digit years stand for 1930 to 2029 and are permuted among themselves. A time after a date stays.
+two-digit years stand for 1930 to 2029 and are permuted among themselves, those that stand first
+(84-05-03) apart from the others. A time after a date stays. Phone numbers have separators, a plus or
+a leading 0; ten digits without any are one where a word such as phone or call stands before them.
 
 Values are replaced inside the tasks that read the texts; nothing is shuffled or gathered.
 """
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import table
+from brandweave.llm.common import small_batches, table
 
 #: For tests and the registered query; give your own key in production.
 DEMO_KEY = b"brandweave demonstration key"
@@ -47,20 +53,19 @@ def _rounds(value: int, bits: int, key: bytes, kind: str, undo: bool) -> int:
     return left << bits | right
 
 
-def permute(value: int, n: int, key: bytes, kind: str, valid: Callable[[int], bool] | None = None, undo: bool = False) -> int:
+def permute(value: int, n: int, key: bytes, kind: str, side: Callable[[int], object] | None = None, undo: bool = False) -> int:
     """The value's place under a keyed permutation of 0 .. n-1.
 
-    The network covers the next power of four; results outside 0 .. n-1, or not ``valid``, are
-    permuted again (cycle walking), which is a permutation of the valid values. ``valid`` is only
-    asked for where the value itself meets it.
+    The network covers the next power of four; results outside 0 .. n-1, or of another class by
+    ``side``, are permuted again (cycle walking), which is a permutation of each class.
     """
     if n < 2:
         return value
     bits = ((n - 1).bit_length() + 1) // 2
-    check = valid if valid and valid(value) else None
+    own = side(value) if side else None
     while True:
         value = _rounds(value, bits, key, kind, undo)
-        if value < n and (check is None or check(value)):
+        if value < n and (side is None or side(value) == own):
             return value
 
 
@@ -83,22 +88,26 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def _spelled(text: str, key: bytes, kind: str) -> str:
-    """Permutes the letters and digits of a text within their classes, as one mixed-radix number."""
+def _spelled(text: str, key: bytes, kind: str, side: Callable[[str], object] | None = None) -> str:
+    """Permutes the letters and digits of a text within their kinds, as one mixed-radix number."""
     radix = [(10, "0") if c.isdigit() else (26, "a") if c.islower() else (26, "A") if c.isupper() else None for c in text]
     radix = [r if r and c.isascii() else None for r, c in zip(radix, text, strict=True)]
     value, n = 0, 1
     for r, c in zip(radix, text, strict=True):
         if r:
             value, n = value * r[0] + ord(c) - ord(r[1]), n * r[0]
-    value = permute(value, n, key, f"{kind}:{''.join(r[1] if r else c for r, c in zip(radix, text, strict=True))}")
-    out = []
-    for r, c in zip(reversed(radix), reversed(text), strict=True):
-        if r:
-            value, d = divmod(value, r[0])
-            c = chr(ord(r[1]) + d)
-        out.append(c)
-    return "".join(reversed(out))
+
+    def spell(value: int) -> str:
+        out = []
+        for r, c in zip(reversed(radix), reversed(text), strict=True):
+            if r:
+                value, d = divmod(value, r[0])
+                c = chr(ord(r[1]) + d)
+            out.append(c)
+        return "".join(reversed(out))
+
+    kind = f"{kind}:{''.join(r[1] if r else c for r, c in zip(radix, text, strict=True))}"
+    return spell(permute(value, n, key, kind, (lambda v: side(spell(v))) if side else None))
 
 
 def _email(m: re.Match, key: bytes) -> str | None:
@@ -111,7 +120,9 @@ def _card(m: re.Match, key: bytes) -> str | None:
     digits = _digits(m["card"])
     if not 12 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
-    body = f"{permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, f'card{len(digits)}'):0{len(digits) - 1}d}"
+    width = len(digits) - 1
+    same = lambda n: n % 10 * (10**width - 1) // 9 == n  # noqa: E731  one digit throughout, which is no card
+    body = f"{permute(int(digits[:-1]), 10**width, key, f'card{len(digits)}', same):0{width}d}"
     return _fill(m["card"], body + luhn_digit(body))
 
 
@@ -123,9 +134,14 @@ def _area(n: int) -> bool:
 def _phone(m: re.Match, key: bytes) -> str | None:
     text = m["phone"]
     digits = _digits(text)
-    if len(digits) == 11 and digits[0] == "1" or len(digits) == 10 and not text.startswith("+"):
+    if len(digits) == 11 and digits[0] == "1" or len(digits) == 10 and not text.startswith(("+", "0")):
         head, body = digits[:-10], digits[-10:]
         return _fill(text, head + f"{permute(int(body), 10**10, key, 'phone10', _area):010d}")
+    if text.startswith("0"):
+        if not 9 <= len(digits) <= 12:
+            return None
+        first = lambda n: n // 10 ** (len(digits) - 2) > 0  # noqa: E731  no second 0
+        return _fill(text, "0" + f"{permute(int(digits[1:]), 10 ** (len(digits) - 1), key, f'phone0{len(digits)}', first):0{len(digits) - 1}d}")
     if text.startswith("+") and 8 <= len(digits) <= 15:
         head = _digits(re.match(r"\+\d{1,3}", text)[0])[:2]
         body = digits[len(head) :]
@@ -133,6 +149,14 @@ def _phone(m: re.Match, key: bytes) -> str | None:
     return None
 
 
+def _called(m: re.Match, key: bytes) -> str | None:
+    """Ten digits after a word that announces a phone number."""
+    whole, number = m["called"], m["number"]
+    if not _area(int(number)):
+        return None
+    return whole[: -len(number)] + f"{permute(int(number), 10**10, key, 'phone10', _area):010d}"
+
+
 def _unicast(n: int) -> bool:
     return 1 <= n >> 24 <= 223 and n >> 24 not in (10, 127)
 
@@ -151,7 +175,7 @@ def _ipv6(m: re.Match, key: bytes) -> str | None:
         value = int(ipaddress.IPv6Address(m["ipv6"]))
     except ValueError:
         return None
-    return str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ipv6"))) if value > 1 else None
+    return str(ipaddress.IPv6Address(permute(value, 1 << 128, key, "ipv6", lambda n: n > 1))) if value > 1 else None
 
 
 def _social(n: int) -> bool:
@@ -224,13 +248,17 @@ def _year(text: str) -> int:
     return year if len(text) != 2 else year + (1900 if year >= 30 else 2000)
 
 
-def _new_day(day: int, short: bool, key: bytes, valid: Callable[[datetime.date], bool] | None = None) -> datetime.date | None:
+def _late(day: datetime.date) -> bool:
+    """Whether a day can't be taken for a month, so that its place in a date is plain."""
+    return day.day > 12
+
+
+def _new_day(day: int, short: bool, key: bytes, side: Callable[[datetime.date], object] = _late) -> datetime.date | None:
     """The day that takes a day's place, among those that years of four or two digits can name."""
     first, last, kind = (FIRST_SHORT, LAST_SHORT, "date2") if short else (FIRST_DAY, LAST_DAY, "date")
     if not first <= day <= last:
         return None
-    check = (lambda n: valid(datetime.date.fromordinal(first + n))) if valid else None
-    return datetime.date.fromordinal(first + permute(day - first, last - first + 1, key, kind, check))
+    return datetime.date.fromordinal(first + permute(day - first, last - first + 1, key, kind, lambda n: side(datetime.date.fromordinal(first + n))))
 
 
 def _read(order: str, parts: tuple[str, ...]) -> int | None:
@@ -255,10 +283,10 @@ def _date(m: re.Match, key: bytes) -> str | None:
             continue
         width = {x: len(v) if v[0] == "0" or len(v) > 1 else 1 for x, v in zip(order, (a, b, c), strict=True)}
         spell = lambda new: tuple(f"{ {'y': new.year % 100 if short else new.year, 'm': new.month, 'd': new.day}[x]:0{width[x]}d}" for x in order)  # noqa: B023, E731
-        # A month-first date stays readable as one only with its own order, so that order is kept;
-        # with two digits, the new date is also one that no earlier order reads.
-        valid = (lambda new: all(_read(o, spell(new)) is None for o in orders[:k])) if short else None  # noqa: B023
-        new = _new_day(day, short, key, valid)
+        # Days up to the 12th and later ones stay apart, so the new date is read in the same order. A
+        # short year in front stays one that can't be read as a day or a month.
+        side = (lambda new: all(_read(o, spell(new)) is None for o in orders[:k])) if short and order == "ymd" else _late  # noqa: B023
+        new = _new_day(day, short, key, side)
         return None if new is None else sep.join(spell(new))
     return None
 
@@ -295,25 +323,29 @@ def _named_date(text: str, key: bytes) -> str | None:
     return text
 
 
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
 def _secret(m: re.Match, key: bytes) -> str | None:
     whole, value = m["secret"], m["value"]
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+    if HEX.fullmatch(value):
         new = f"{permute(int(value, 16), 16 ** len(value), key, f'hex{len(value)}'):0{len(value)}x}"
         new = new.upper() if value.isupper() else new
     else:
-        new = _spelled(value, key, "secret")
+        new = _spelled(value, key, "secret", lambda s: bool(HEX.fullmatch(s)))
     at = m.start("value") - m.start("secret")
     return whole[:at] + new + whole[at + len(value) :]
 
 
 KINDS: dict[str, Callable[[re.Match, bytes], str | None]] = {
-    "secret": _secret, "email": _email, "iban": _iban, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ipv4": _ipv4, "ipv6": _ipv6,
+    "secret": _secret, "email": _email, "iban": _iban, "called": _called, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ipv4": _ipv4, "ipv6": _ipv6,
 }
 PATTERN = re.compile(
     r"""(?P<secret>\b(?i:(?:[a-z]+[_-])*(?:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|token|secret|password|passwd|pwd))["']?\s*[:=]\s*["']?(?P<value>[A-Za-z0-9_+/=.-]{8,}))
     |(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-    |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}|\+(?!1[ (.-])\d{2,3}(?:[ .-]?\(?\d{1,4}\)?){2,5})(?!\d))
+    |(?P<called>\b(?i:tele(?:phone|fon|fono)|t\u00e9l\u00e9phone|phones?|tel|t\u00e9l|call(?:ed|s|ing)?|mobile?|m\u00f3vil|cell(?:phone)?|fax|handy|whatsapp|sms|text|ring|dial)\b[.:]?(?:[ ](?:me|us|him|her|them|at|on|no\.?|number|is|under|nr\.?)){0,3}[:#]?[ ]?(?P<number>\d{10})(?![\w-]|\.\d))
+    |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}|\+(?!1[ (.-])\d{2,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|(?<![./-])0[1-9]\d{0,3}(?:[ /-]\d{6,8}|(?:[ ]\d{2,4}){2,4})(?![-/]\d))(?!\d))
     |(?P<card>(?<!\d)(?:\d{12,19}|\d{4}(?P<c1>[ -])\d{4}(?P=c1)\d{4}(?P=c1)\d{1,7}|\d{4}(?P<c2>[ -])\d{6}(?P=c2)\d{5})(?!\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<date>(?<![\w./-])(?:(?<![Vv]ersion[ ])(?<![Rr]elease[ ])(?P<d1>\d{4}|\d{1,2})(?P<ds>[./-])(?P<d2>\d{1,2})(?P=ds)(?P<d3>\d{4}|\d{1,2})(?!(?![Tt]\d\d:?\d\d)[\w/-]|\.\d)|(?:"""
@@ -348,7 +380,7 @@ def replace(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[str, int,
     return ("".join(out) + text[at:] if found else text), found
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=10_000)
 def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     m = next((m for m in PATTERN.finditer(value) if m[kind] is not None), None)
     return None if m is None or m[0] != value else KINDS[kind](m, key)
@@ -362,7 +394,7 @@ def pseudonymise(documents: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """
     if len(key) > 64:
         raise ValueError("a key has at most 64 bytes")
-    rows = documents.select(F.struct("*").alias("row"))
+    rows = small_batches(documents).select(F.struct("*").alias("row"))
     at = documents.columns.index("text")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
@@ -375,6 +407,7 @@ def pseudonymise(documents: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
             made = pa.StructArray.from_arrays(columns, fields=list(row.type))
             found = pa.array([[dict(zip(("kind", "start", "length"), x, strict=True)) for x in f] for _, f in done], type=kind)
             yield pa.RecordBatch.from_arrays([made, found], names=["row", "found"])
+        _pseudonym.cache_clear()  # workers live on, for other stages
 
     return rows.mapInArrow(run, T.StructType([*rows.schema, FOUND]))
 
