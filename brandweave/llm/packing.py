@@ -14,6 +14,7 @@ dot product of the piece's needs with what is left.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import stored, table
+from brandweave.llm.common import small_batches, stored, table
 
-#: The token sequence of one white-space separated chunk is remembered up to this many chunks.
-REMEMBERED = 250_000
+#: The token sequence of one white-space separated chunk is remembered up to this many chunks, until
+#: the task ends.
+REMEMBERED = 100_000
 #: Longer chunks are encoded each time.
 CHUNK = 64
 GROUP_PIECES = 60_000
@@ -70,10 +72,11 @@ class _Chunks(dict):
 class Encoder:
     """Token ids, as little-endian unsigned 32-bit values, of a byte-level BPE vocabulary file.
 
-    The ids are those of ``tokenizers`` for the same file without special tokens; their strings in
-    a text are ordinary text. A text is cut before each single space that stands between two
-    characters other than white space; the vocabulary's own splitting never joins across such a
-    place, so chunks can be encoded one by one and remembered.
+    The ids are those of ``tokenizers`` for the same file with add_special_tokens=False: no token is
+    added, and where a text holds the string of an added token of the file, it is that token. A text
+    is cut before each single space that stands between two characters other than white space; the
+    vocabulary's own splitting never joins across such a place, so chunks can be encoded one by one
+    and remembered.
     """
 
     _loaded: dict[str, "Encoder"] = {}
@@ -82,11 +85,17 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            known = json.load(file)
+        added = known["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("an added token of the vocabulary is not plain text")
+        self._added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        # the longest first, as they are found in a text
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in printable}
         byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if word != "<|endoftext|>"}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in known["model"]["vocab"].items() if word not in self._added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known = _Chunks(self._encode)
@@ -101,8 +110,17 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self._encode(text)).tobytes()
 
+    def forget(self) -> None:
+        """Drops the remembered chunks."""
+        self._known.clear()
+
     def ids(self, text: str) -> bytes:
         """The ids of the whole text."""
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        return b"".join(self._added[part] if part in self._added else self._plain(part) for part in self._cut.split(text) if part)
+
+    def _plain(self, text: str) -> bytes:
         parts = text.split(" ")
         first = parts[0]
         if first and not first[-1].isspace():
@@ -147,69 +165,60 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, max_tokens: int = 102
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             made = [pa.array(c, type=t) for c, t in zip(columns, kinds)] + [c.take(pa.array(source, type=pa.int64())) for c in batch.columns[2:]]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "piece", "start", "length", "ids_crc32", "file", "row"][: len(made)])
+        encoder.forget()  # workers live on, for other stages
 
     read = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")] if ordered else []
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *read).mapInArrow(run, PIECES + ORDER if ordered else PIECES)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *read).mapInArrow(run, PIECES + ORDER if ordered else PIECES)
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_documents: int, max_cost: int, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Bin numbers and places of pieces given in descending order of length.
 
-    Bins are listed by residual tokens; a bit mask of the non-empty lists finds the tightest one
-    that can take a piece. From each list the most recent bin that meets the document and cost
-    limits is scored; a list whose recent bins fail is looked through to its end, so a bin that
-    fits is never overlooked. With neither of the two limits binding, the tightest list is optimal
-    under the residual norm and is taken at once.
+    Bins are listed by residual tokens, and in a list by their residual documents and cost, since bins
+    alike in all three score alike; a bit mask shows the lists that are not empty. All kinds of bins
+    that can take a piece are scored, but for those that can't win: by the residual norm, lists whose
+    tokens alone score worse than what is found. Of equal scores the fewest residual tokens win, then
+    the fewest residual documents, then the least residual cost, then the most recent bin.
     """
     n = len(lengths)
     chosen, place = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    lists: list[list[int]] = [[] for _ in range(max_tokens + 1)]
-    left_docs: list[int] = []
-    left_cost: list[int] = []
-    mask = 0
+    lists: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(max_tokens + 1)]
+    bins = mask = 0
     wt, wd, wc = (w / c**2 for w, c in zip(weights, (max_tokens, max_documents, max_cost)))
-    free = max_documents >= max_tokens and max_cost >= max_tokens**2
     for i, size in enumerate(lengths.tolist()):
         cost = size * size
-        best, best_score, from_list = -1, None, 0
-        above = mask >> size
-        base = size
+        best, best_score = None, 0.0
+        above, tokens = mask >> size, size - 1
         while above:
-            low = (above & -above).bit_length() - 1
-            tokens = base + low
-            for b in reversed(lists[tokens]):
-                if left_docs[b] >= 1 and left_cost[b] >= cost:
+            step = (above & -above).bit_length()
+            tokens, above = tokens + step, above >> step
+            least = wt * (tokens - size) ** 2
+            if best and rule != "dot" and least > best_score:
+                break
+            for kind in lists[tokens]:
+                docs, left = kind
+                if docs >= 1 and left >= cost:
                     if rule == "dot":
-                        score = -(wt * size * tokens + wd * left_docs[b] + wc * cost * left_cost[b])
+                        score = -(wt * size * tokens + wd * docs + wc * cost * left)
                     else:
-                        score = wt * (tokens - size) ** 2 + wd * (left_docs[b] - 1) ** 2 + wc * (left_cost[b] - cost) ** 2
-                    if best_score is None or score < best_score:
-                        best, best_score, from_list = b, score, tokens
-                    break
-            if free and best >= 0 and rule != "dot":
-                break
-            above >>= low + 1
-            base += low + 1
-        if best < 0:
-            best = len(left_docs)
-            left_docs.append(max_documents)
-            left_cost.append(max_cost)
-            tokens = max_tokens
+                        score = least + wd * (docs - 1) ** 2 + wc * (left - cost) ** 2
+                    if best is None or (score, tokens, kind) < (best_score, *best):
+                        best, best_score = (tokens, kind), score
+        if best is None:
+            number, bins = bins, bins + 1
+            tokens, kind = max_tokens, (max_documents, max_cost)
         else:
-            tokens = from_list
-            own = lists[tokens]
-            if own[-1] == best:
-                own.pop()
-            else:
-                own.remove(best)
+            tokens, kind = best
+            own = lists[tokens][kind]
+            number = own.pop()
             if not own:
-                mask &= ~(1 << tokens)
-        chosen[i], place[i] = best, max_tokens - tokens
-        left_docs[best] -= 1
-        left_cost[best] -= cost
-        rest = tokens - size
-        if rest and left_docs[best] and left_cost[best]:
-            lists[rest].append(best)
+                del lists[tokens][kind]
+                if not lists[tokens]:
+                    mask &= ~(1 << tokens)
+        chosen[i], place[i] = number, max_tokens - tokens
+        rest, kind = tokens - size, (kind[0] - 1, kind[1] - cost)
+        if rest and kind[0] and kind[1]:
+            lists[rest].setdefault(kind, []).append(number)
             mask |= 1 << rest
     return chosen, place
 
@@ -232,10 +241,12 @@ def _in_order(pieces: DataFrame, group_pieces: int) -> tuple[DataFrame, int]:
     return joined.select(*PIECE_NAMES, "at", "group"), groups
 
 
-def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "residual", group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] | None = None, rule: str = "residual", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to stored pieces.
 
-    ``max_documents`` and ``max_cost`` default to values that any bin of ``max_tokens`` meets. The
+    ``max_documents`` and ``max_cost`` default to values that any bin of ``max_tokens`` meets, and
+    ``weights`` to such that a token left over outweighs documents and cost, which part the bins that
+    a piece fills equally: that gives the fewest sequences. The
     number of groups follows the number of pieces; a piece's group is a hash of all its columns, so
     repeated rows and hot doc_ids spread like others. Pieces with a file and a row are dealt in that
     order instead, and sequences are numbered by the mean place of their pieces within the group's run
@@ -243,6 +254,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None =
     that no empty bin can take is an error.
     """
     documents, cost = max_documents or max_tokens, max_cost or max_tokens**2
+    weights = weights or (1.0, 0.25 / max_tokens**2, 0.25 / max_tokens**2)
     if rule not in ("residual", "dot"):
         raise ValueError(f"unknown rule {rule!r}")
     ordered = "row" in pieces.columns
