@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than ASCII white space (bytes 20 and 09-0D).
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
+#: Rows of a batch that is sent to or from Python, unless the session names a number of its own.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PIECE = 1 << 18
 _MASK = (1 << 64) - 1
 
@@ -21,6 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, whose session from now on sends at most BATCH_ROWS rows at a time to Python.
+
+    Spark's 10,000 rows of long texts take hundreds of MB outside the heap of an executor. A number
+    that the session already has stays.
+    """
+    spark = frame.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    return frame
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
@@ -207,7 +222,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.
     return out, n
 
 
-def slices(batches, column: int = 1, limit: int = 4 << 20):
+def slices(batches, column: int = 1, limit: int = 1 << 20):
     """Parts of Arrow batches whose binary column holds about ``limit`` bytes, or one row at least."""
     for batch in batches:
         if not batch.num_rows:

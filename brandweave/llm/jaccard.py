@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import Scratch, hash_words, mix64, shingles, slices, stored, table, utf8
+from brandweave.llm.common import Scratch, hash_words, mix64, shingles, slices, small_batches, stored, table, utf8
 from brandweave.llm.graph import components
 
 WIDTH = 5
@@ -211,7 +211,7 @@ class Join:
     """One self-join: its documents, its order, and its comparisons."""
 
     def __init__(self, documents: DataFrame, width: int, threshold: tuple[int, int]):
-        self.texts = documents.select(utf8().alias("text"))
+        self.texts = small_batches(documents).select(utf8().alias("text"))
         self.width, self.threshold = width, threshold
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
         sketch = stored(rows.mapInArrow(_sketch(width), SKETCHED), "sketch")

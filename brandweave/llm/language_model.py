@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import fresh_path, hash_words, mix64, slices, table, utf8
+from brandweave.llm.common import fresh_path, hash_words, mix64, slices, small_batches, table, utf8
 
 #: Tokens that a task combines at a time, and those that a bigram shard is planned for.
 COMBINED = 3_000_000
@@ -283,7 +283,7 @@ def train(documents: DataFrame, folder: str | None = None) -> Model:
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "model")
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = documents.select(utf8().alias("text"))
+    texts = small_batches(documents).select(utf8().alias("text"))
     texts.mapInArrow(_count_words(shards), _BLOCKS).groupBy("shard").applyInArrow(_merge_words, _BLOCKS).write.parquet(f"{folder}/words")
     words = spark.read.schema(_BLOCKS).parquet(f"{folder}/words")
 
@@ -435,7 +435,7 @@ def score(documents: DataFrame, model: Model, held_out: Column | None = None) ->
                 names=[x.split()[0] for x in SCORED.split(", ")],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), utf8().alias("text"), held_out.alias("held_out")).mapInArrow(run, SCORED)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), utf8().alias("text"), held_out.alias("held_out")).mapInArrow(run, SCORED)
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import LOWER, classes, hash_words, slices, table, utf8
+from brandweave.llm.common import LOWER, classes, hash_words, slices, small_batches, table, utf8
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -92,7 +92,7 @@ def word_counts(documents: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
             total += np.bincount(at[vocabulary[at] == words], minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocabulary))), pa.array(total)], names=["word", "n"])
 
-    rows = documents.select(utf8().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(documents).select(utf8().alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(vocabulary), dtype=np.int64)
     for row in rows:
         out[row.word] = row.n
@@ -191,7 +191,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | No
     made = [_Template(i, label, words, rank, threshold) for i, ((label, _), words) in enumerate(zip(templates, sets, strict=True))]
     orders = []
     for t in made:
-        order = np.full(len(vocabulary), 255, dtype=np.int64)
+        order = np.full(len(vocabulary), len(vocabulary), dtype=np.int64)
         order[np.searchsorted(vocabulary, np.array(t.words, dtype=np.uint64))] = np.arange(len(t.words))
         orders.append(order)
     leads = [np.isin(np.arange(len(vocabulary)), np.searchsorted(vocabulary, np.array(t.prefix, dtype=np.uint64))) for t in made]
@@ -219,7 +219,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | No
                 for i in np.unique(text_of[lead[known]]).tolist():
                     a, b = np.searchsorted(here, [begins[i], ends[i]])
                     ranks = order[known[a:b]]
-                    mine = ranks < 255
+                    mine = ranks < len(vocabulary)
                     blocks.setdefault(i, []).extend(_blocks(t, here[a:b][mine] - begins[i], ranks[mine], int(n[i])))
             rows = []
             for i in range(len(n)):

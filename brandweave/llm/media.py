@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from brandweave.llm.common import fresh_path, slices, table, utf8
+from brandweave.llm.common import fresh_path, slices, small_batches, table, utf8
 
 WIDTH = 576
 FILL = 255
@@ -124,7 +124,7 @@ def write_archives(documents: DataFrame, folder: str, archive_bytes: int = ARCHI
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["archive", "bytes", "members"])
 
-    return documents.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, MANIFEST)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, MANIFEST)
 
 
 @dataclass

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import stored, table
+from brandweave.llm.common import small_batches, stored, table
 
 #: The bound of the sample that codebooks are fitted to: rows in the order of a hash of vec_id.
 SAMPLE = 20_000
@@ -125,7 +125,7 @@ def _usable(column: str) -> Column:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector) of the rows that take part; a null vec_id does not."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    rows = small_batches(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
     return rows.where(F.col("vec_id").isNotNull() & _usable("vector"))
 
 

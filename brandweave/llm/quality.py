@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import SAME, SPACES, hash_words, mix64, slices, stored, table, utf8
+from brandweave.llm.common import SAME, SPACES, hash_words, mix64, slices, small_batches, stored, table, utf8
 
 BUCKETS = 1 << 14
 #: The bound of the labelled sample: rows of labels in the order of a hash of their doc_id.
@@ -74,7 +74,7 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_lab
     """
     sample = stored(labelled_sample(labels, max_labels), "labels")
     known = F.broadcast(sample)  # max_labels rows at most
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(known, "doc_id", "left")
+    rows = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(known, "doc_id", "left")
     rows = rows.withColumn("tuning", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(3)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def select(documents: DataFrame, weights: Weights, k: int | None = None, seed: i
     fitted threshold or more. Rows with the k-th key are all kept. Null and empty texts have weight
     0; repeated rows share their key. An empty input gives an empty result.
     """
-    rows = documents.select(F.struct("doc_id", "text").alias("row"), gumbel(seed).alias("noise"))
+    rows = small_batches(documents).select(F.struct("doc_id", "text").alias("row"), gumbel(seed).alias("noise"))
     scored = stored(_scored(rows, weights.ratio).select("row.doc_id", "log_weight", "key"), "scored")
     total, good = scored.agg(F.count(F.lit(1)), F.count(F.when(F.col("log_weight") >= weights.threshold, 1))).first()
     k = min(total, good if k is None else k)
@@ -175,7 +175,7 @@ def keep(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     chosen = select(documents, weights, k, seed).select("least").first()
     if chosen is None:
         return documents
-    rows = documents.select(F.struct("*").alias("row"), gumbel(seed).alias("noise"))
+    rows = small_batches(documents).select(F.struct("*").alias("row"), gumbel(seed).alias("noise"))
     return _scored(rows, weights.ratio).where(F.col("key") >= F.lit(chosen.least)).select("row.*")
 
 
