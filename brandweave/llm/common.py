@@ -62,7 +62,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Stored tables that go when the block ends: what was made of them must be stored by then."""
+    """Stored tables that go when the block ends, or with ``free``: what was made of them must be
+    stored by then."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder = spark, fresh_path(spark, "scratch")
@@ -79,6 +80,10 @@ class Scratch:
         return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
+        self.free()
+
+    def free(self) -> None:
+        """Deletes the tables."""
         # Hadoop's file systems, since whatever Spark can write to, they can delete from
         context = self.spark.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(self.folder)

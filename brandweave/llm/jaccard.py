@@ -4,30 +4,34 @@ Texts with equal shingle sets are one node. Shingles are ordered by how common t
 powers of two, from a table of counts over all documents with a fixed number of cells), then by a
 hash; several hashes give several global orders. Sets that reach the threshold share a token in
 their prefixes under every one of these orders. Nodes meet in the buckets of their prefix tokens
-under the first order; a pair stays if lengths and positions allow the overlap. Then its prefixes are
-compared, and before its sets are it must share enough prefix tokens under every order: what two
-prefixes have in common, and all that stands behind the one that ends first, bounds the overlap.
+under the first order; a pair stays if lengths and positions allow the overlap. Then the pair's
+prefixes under all orders are compared, and only if every order allows the threshold do its sets
+move: what two prefixes have in common, and all that stands behind the one that ends first, bounds
+the overlap.
 
 Only components are asked for, so a pair inside a known component need not be compared. First, each
 bucket's node with the fewest rarer tokens is compared with the bucket's others, which links groups
 of near copies by as many comparisons as they have members. Then all pairs of nodes that share a
-bucket and lie in different components are compared. No pair is left out by any cap.
+bucket and lie in different components are compared; buckets are joined by token and by bands of
+lengths, and large ones in several parts. No pair is left out by any cap.
 
 Shingles equal in their 64-bit hashes count as the same. What is sent to the workers is of fixed
-size: the table of classes, and a bit set of the nodes to be compared, which only saves work.
+size: the table of classes, and a bit set of the nodes to be compared, which only saves work. In the
+table of classes a task's count of a cell ends at 255; that may change the order of tokens, and with
+it the work, not the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brandweave.llm.common import Scratch, hash_words, mix64, shingles, slices, small_batches, stored, table, utf8
 from brandweave.llm.graph import components
@@ -42,9 +46,16 @@ ROW_BITS = 16
 #: first node by aggregation.
 COMMON_CLASS = 12
 FILTER_BITS = 23
+#: Tables of counts that are added up at a time.
+MERGED = 64
+#: Texts are picked by a broadcast table of their hashes if it has at most this many rows.
+PICKED = 500_000
+#: Nodes of a bucket that are joined as one part.
+PART_NODES = 2048
 #: Odd multipliers of the orders after the first.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SKETCHED = "doc_id long, n long, fp long, row int, cells binary, counts binary"
+SKETCHED = "doc_id long, n long, fp long, text_hash long, row int, cells binary, counts binary"
+NODES = "fp long, text_hash long, n long, prefix array<long>, others binary"
 
 
 def sets_of(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -68,13 +79,13 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         names = [x.split()[0] for x in SKETCHED.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         for part in slices(batches):
             found = list(sets_of(part.column(1).to_pylist(), width))
             np.add.at(cells, np.concatenate(found).astype(np.int64) & ((1 << CELL_BITS) - 1), 1)
             none = pa.nulls(part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in found], type=pa.int64()), pa.array([fingerprint(s) for s in found], type=pa.int64()), *(none.cast(t) for t in kinds[3:])], names=names
+                [part.column(0), pa.array([len(s) for s in found], type=pa.int64()), pa.array([fingerprint(s) for s in found], type=pa.int64()), part.column(2), *(none.cast(t) for t in kinds[4:])], names=names
             )
         small = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 1 << ROW_BITS)
         rows = []
@@ -86,27 +97,42 @@ def _sketch(width: int):
                 rows.append((i, at.astype("<u2").tobytes(), counts[at].tobytes()))
         if rows:
             none = pa.nulls(len(rows), type=pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, *(pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds[3:], strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, *(pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds[4:], strict=True))], names=names)
 
     return run
 
 
-def _classes(sketch: DataFrame) -> np.ndarray:
-    """By cell, the power of two below its count; the counts are summed by row of the table."""
-
-    def total(group: pa.Table) -> pa.Table:
-        counts = np.zeros(1 << ROW_BITS, dtype=np.int64)
-        for cells, own in zip(group["cells"].to_pylist(), group["counts"].to_pylist(), strict=True):
-            own = np.frombuffer(own, dtype=np.uint8)
-            if cells:
-                counts[np.frombuffer(cells, dtype="<u2")] += own
-            else:
-                counts += own
-        classes = np.log2(np.maximum(counts, 1)).astype(np.uint8)
-        return pa.table([pa.array([group["row"][0].as_py()], type=pa.int32()), pa.array([classes.tobytes()])], names=["row", "classes"])
+def _added(group: pa.Table) -> pa.Table:
+    """The sum of tables of counts of one row, of bytes or of 32-bit numbers."""
+    total = np.zeros(1 << ROW_BITS, dtype=np.int64)
+    for cells, counts, wide in zip(group["cells"].to_pylist(), group["counts"].to_pylist(), group["wide"].to_pylist(), strict=True):
+        own = np.frombuffer(counts, dtype="<u4" if wide else np.uint8)
+        if cells:
+            total[np.frombuffer(cells, dtype="<u2")] += own
+        else:
+            total += own
+    sums = np.minimum(total, (1 << 32) - 1).astype("<u4")
+    return pa.table([pa.array([group["row"][0].as_py()], type=pa.int32()), pa.array([group["part"][0].as_py()], type=pa.int32()), pa.array([b""]), pa.array([sums.tobytes()]), pa.array([True])], names=["row", "part", "cells", "counts", "wide"])
+
+
+def _classes(sketch: DataFrame, scratch: Scratch) -> np.ndarray:
+    """By cell, the power of two below its count; tables of counts are added up MERGED at a time."""
+    tables = sketch.where("row is not null").select("row", "part", "cells", "counts", F.lit(False).alias("wide"))
+    parts = (tables.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // MERGED)
+        tables = tables.withColumn("part", F.col("part") % parts).groupBy("row", "part").applyInArrow(_added, "row int, part int, cells binary, counts binary, wide boolean")
+        if parts == 1:
+            break
+        tables = scratch.stored(tables, "counts")
+
+    def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.log2(np.maximum(np.frombuffer(c, dtype="<u4"), 1)).astype(np.uint8).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, type=pa.binary())], names=["row", "classes"])
 
     out = np.zeros((1 << (CELL_BITS - ROW_BITS), 1 << ROW_BITS), dtype=np.uint8)
-    for row in sketch.where("row is not null").select("row", "cells", "counts").groupBy("row").applyInArrow(total, "row int, classes binary").collect():
+    for row in tables.select("row", "counts").mapInArrow(powers, "row int, classes binary").collect():
         out[row.row] = np.frombuffer(row.classes, dtype=np.uint8)
     return out.ravel()
 
@@ -128,17 +154,26 @@ def prefix_length(n: int, threshold: tuple[int, int]) -> int:
     return n - -(-threshold[0] * n // threshold[1]) + 1 if n else 0
 
 
+def short_prefix(tokens: np.ndarray, multiplier: int, length: int) -> np.ndarray:
+    """The prefix under another order, as the upper halves of its keys, ascending."""
+    return (reordered(tokens, multiplier)[:length] >> np.uint64(32)).astype("<u4")
+
+
 def _prefixes(width: int, threshold: tuple[int, int], classes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
             rows = []
-            for own in sets_of(part.column(0).to_pylist(), width):
+            for own, text_hash in zip(sets_of(part.column(0).to_pylist(), width), part.column(1).to_pylist(), strict=True):
                 if len(own):
-                    rows.append((fingerprint(own), len(own), ordered(own, classes)[: prefix_length(len(own), threshold)].view(np.int64)))
-            fps, sizes, prefixes = zip(*rows, strict=True) if rows else ([], [], [])
+                    tokens, p = ordered(own, classes), prefix_length(len(own), threshold)
+                    rows.append((fingerprint(own), text_hash, len(own), tokens[:p].view(np.int64), b"".join(short_prefix(tokens, m, p).tobytes() for m in ORDERS)))
+            fps, hashes, sizes, prefixes, others = zip(*rows, strict=True) if rows else ([],) * 5
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if rows else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fps, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fps, type=pa.int64()), pa.array(hashes, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array(others, type=pa.binary())],
+                names=[x.split()[0] for x in NODES.split(", ")],
+            )
 
     return run
 
@@ -173,22 +208,24 @@ def prefixes_allow(x: np.ndarray, y: np.ndarray, n: int, m: int, threshold: tupl
     """Whether two prefixes under one order, of sets of n and m tokens, allow the threshold.
 
     All common tokens up to the end of the prefix that ends first lie in both prefixes; behind it
-    its set has only the rest of its tokens.
+    its set has only the rest of its tokens. Keys may be cut, which lets more through.
     """
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    rest = n - len(x) if x[-1] <= y[-1] else m - len(y)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    rests = n - len(x), m - len(y)
+    rest = max(rests) if x[-1] == y[-1] else rests[0] if x[-1] < y[-1] else rests[1]
     return both > 0 and (both + rest) * sum(threshold) >= (n + m) * threshold[0]
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
-    """Whether two ordered sets reach the threshold: prefixes under each order, then the overlap."""
-    n, m = len(x), len(y)
-    p, q = prefix_length(n, threshold), prefix_length(m, threshold)
-    if not prefixes_allow(x[:p], y[:q], n, m, threshold):
+def orders_allow(x: np.ndarray, y: np.ndarray, more_x: bytes, more_y: bytes, n: int, m: int, threshold: tuple[int, int]) -> bool:
+    """Whether the prefixes under every order do."""
+    if not prefixes_allow(x, y, n, m, threshold):
         return False
-    for multiplier in ORDERS:
-        if not prefixes_allow(reordered(x, multiplier)[:p], reordered(y, multiplier)[:q], n, m, threshold):
-            return False
+    others = [np.frombuffer(b, dtype="<u4").reshape(len(ORDERS), -1) for b in (more_x, more_y)]
+    return all(prefixes_allow(a, b, n, m, threshold) for a, b in zip(*others, strict=True))
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
+    """Whether two ordered sets reach the threshold."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both * threshold[1] >= (len(x) + len(y) - both) * threshold[0]
 
@@ -207,20 +244,27 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).unionAll(pairs.select(F.col("b").alias("fp")))
 
 
+def band(n: Column, threshold: tuple[int, int]) -> Column:
+    """Lengths whose ratio is at least the threshold are in the same or in neighbouring bands."""
+    return F.floor(F.log(n) / F.lit(math.log(threshold[1] / threshold[0]) + 1e-6)).cast("long")
+
+
 class Join:
     """One self-join: its documents, its order, and its comparisons."""
 
-    def __init__(self, documents: DataFrame, width: int, threshold: tuple[int, int]):
-        self.texts = small_batches(documents).select(utf8().alias("text"))
-        self.width, self.threshold = width, threshold
-        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-        sketch = stored(rows.mapInArrow(_sketch(width), SKETCHED), "sketch")
-        self.members = sketch.where("row is null").select("doc_id", "n", "fp")
-        self.classes = _classes(sketch)
+    def __init__(self, documents: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch):
+        text = utf8()
+        self.texts = small_batches(documents).select(text.alias("text"), F.xxhash64(text).alias("text_hash"))
+        self.width, self.threshold, self.scratch = width, threshold, scratch
+        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+        sketch = scratch.stored(rows.mapInArrow(_sketch(width), SKETCHED).withColumn("part", F.spark_partition_id()), "sketch")
+        self.members = sketch.where("row is null").select("doc_id", "n", "fp", "text_hash")
+        self.classes = _classes(sketch, scratch)
         self.common = max(COMMON_CLASS, int(np.median(self.classes)) + 3)
 
-        prefixes = self.texts.mapInArrow(_prefixes(width, threshold, self.classes), "fp long, n long, prefix array<long>")
-        self.nodes = stored(prefixes.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+        prefixes = self.texts.mapInArrow(_prefixes(width, threshold, self.classes), NODES)
+        one = F.min_by(F.struct("n", "prefix", "others", "text_hash"), "text_hash").alias("one")
+        self.nodes = scratch.stored(prefixes.groupBy("fp").agg(one).select("fp", "one.*"), "nodes")
 
     def buckets(self) -> DataFrame:
         """(token, fp, n, pos, first_fp, first_n, first_pos) of all buckets of two nodes or more."""
@@ -236,25 +280,31 @@ class Join:
         both = rare.select("token", "fp", "n", "pos", "first").unionByName(often.join(firsts, "token").select("token", "fp", "n", "pos", "first"))
         return both.select("token", "fp", "n", "pos", F.col("first.fp").alias("first_fp"), F.col("first.n").alias("first_n"), F.col("first.pos").alias("first_pos"))
 
-    def narrowed(self, pairs: DataFrame) -> DataFrame:
-        """The stored pairs (a, b) whose prefixes under the first order allow the threshold."""
-        bits, threshold = _bit_set(_ends(pairs)), self.threshold
+    def _asked(self, bits: np.ndarray) -> DataFrame:
+        """The nodes whose bit is set."""
 
-        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
                 yield batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
+        return self.nodes.mapInArrow(run, self.nodes.schema)
+
+    def narrowed(self, pairs: DataFrame) -> DataFrame:
+        """The stored pairs (a, b) whose prefixes under all orders allow the threshold."""
+        threshold = self.threshold
+
         def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)), strict=True)
-                keep = [prefixes_allow(x.view(np.uint64), y.view(np.uint64), n, m, threshold) for n, x, m, y in rows]
+                rows = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 8)), strict=True)
+                keep = [orders_allow(x.view(np.uint64), y.view(np.uint64), p, q, n, m, threshold) for n, x, p, m, y, q in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-        nodes = self.nodes.mapInArrow(asked, self.nodes.schema)
-        side = lambda end: nodes.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("prefix").alias(f"prefix_{end}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "prefix_a", "n_b", "prefix_b")
-        return stored(both.mapInArrow(allow, "a long, b long"), "narrowed")
+        nodes = self._asked(_bit_set(_ends(pairs)))
+        names = ("n", "prefix", "others")
+        side = lambda end: nodes.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{end}" for end in "ab" for c in names))
+        return self.scratch.stored(both.mapInArrow(allow, "a long, b long"), "narrowed")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that reach the threshold."""
@@ -265,12 +315,17 @@ class Join:
                 keep = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
+        pairs = self.narrowed(pairs)
+        bits = _bit_set(_ends(pairs))
+        # one text of each node to be compared; while they are few, Spark picks them before Python sees any
+        picked = self.scratch.stored(self._asked(bits).select("text_hash"), "picked")
+        texts = self.texts.join(F.broadcast(picked), "text_hash", "left_semi") if picked.count() <= PICKED else self.texts
         with Scratch(pairs.sparkSession) as scratch:
-            sets = self.texts.mapInArrow(_sets(self.width, self.classes, _bit_set(_ends(pairs))), "fp long, tokens binary")
+            sets = texts.select("text").mapInArrow(_sets(self.width, self.classes, bits), "fp long, tokens binary")
             sets = scratch.stored(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
             left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
             joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
-            return stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+            return self.scratch.stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
     def links(self) -> DataFrame:
         """Links (u, v) of nodes, enough of them to connect every component."""
@@ -293,23 +348,29 @@ class Join:
         known = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
         placed = buckets.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        placed = scratch.stored(placed.select("token", "fp", "n", "pos", "label"), "placed")
-        mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+        placed = scratch.stored(placed.select("token", "fp", "n", "pos", "label", band(F.col("n"), self.threshold).alias("band")), "placed")
+        parts = F.ceil(F.count(F.lit(1)) / F.lit(PART_NODES)).cast("int").alias("parts")
+        mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts).where("low < high").select("token", "parts")
         left = placed.join(mixed, "token")
+        # the shorter set of a pair looks for the longer one in its own band and the next; a large
+        # bucket's longer sets are dealt to parts, and its shorter ones look into all parts
         names = ("fp", "n", "pos", "label")
-        a, b = (left.select("token", *(F.col(c).alias(f"{side}_{c}") for c in names)) for side in ("a", "b"))
-        pairs = a.join(b, "token").where((F.col("a_fp") < F.col("b_fp")) & (F.col("a_label") != F.col("b_label")) & _passes(self.threshold, "a_", "b_"))
-        pairs = pairs.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
+        side = lambda name, at, part: left.select("token", at.alias("band"), part, *(F.col(c).alias(f"{name}_{c}") for c in names))
+        longer = side("b", F.col("band"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"))
+        shorter = side("a", F.explode(F.array(F.col("band"), F.col("band") + 1)), F.col("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        before = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_fp") < F.col("b_fp")))
+        pairs = shorter.join(longer, ["token", "band", "part"]).where(before & (F.col("a_label") != F.col("b_label")) & _passes(self.threshold, "a_", "b_"))
+        pairs = pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self.compare(self.narrowed(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs")))
-        return stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        rest = self.compare(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
+        return self.scratch.stored(stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
 
 
-def _join(documents: DataFrame, width: int, threshold: tuple[int, int]) -> Join:
+def _join(documents: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> Join:
     share = Fraction(*threshold)
     if not 0 < share <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    return Join(documents, width, (share.numerator, share.denominator))
+    return Join(documents, width, (share.numerator, share.denominator), scratch)
 
 
 def _nodes(join: Join) -> DataFrame:
@@ -327,12 +388,13 @@ def near_copies(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
     component_id is the smallest doc_id of those reachable by links. Rows with the same doc_id are
     linked like others; null doc_ids are no component_id unless a component has no other.
     """
-    join = _join(documents, width, threshold)
-    nodes = _nodes(join)
-    ids = nodes.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(ids, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    full = join.members.where("n > 0").join(nodes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    with Scratch(documents.sparkSession) as scratch:
+        join = _join(documents, width, threshold, scratch)
+        nodes = _nodes(join)
+        ids = nodes.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
+        nodes = nodes.join(ids, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+        full = join.members.where("n > 0").join(nodes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        return stored(full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "near_copies")
 
 
 def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -341,25 +403,20 @@ def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
     Documents without words are all kept. Of repeated rows of the chosen document one stays; where a
     component has only null doc_ids, one of its rows stays.
     """
-    join = _join(documents, width, threshold)
-    nodes = _nodes(join)
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
-    chosen = nodes.groupBy(F.coalesce("label", "fp").alias("label")).agg(first)
-    chosen = chosen.select(F.col("first.fp").alias("fp"), F.col("first.least").alias("least"))
-    rows = documents.select(F.struct("*").alias("row"))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).field("text").cast(pa.binary()).fill_null(b"")
-            for part in slices([pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "bytes"])]):
-                fps = [fingerprint(own) if len(own) else None for own in sets_of(part.column(1).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, type=pa.int64())], names=["row", "fp"])
-
-    named = rows.mapInArrow(name, T.StructType([*rows.schema, T.StructField("fp", T.LongType())]))
-    same = (named["fp"] == chosen["fp"]) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("least"))
-    number = F.row_number().over(W.partitionBy("fp").orderBy(F.xxhash64("row")))
-    kept = named.join(chosen, same).select("row", named["fp"]).withColumn("number", number).where("number = 1").select("row")
-    return kept.unionByName(named.where("fp is null").select("row")).select("row.*")
+    with Scratch(documents.sparkSession) as scratch:
+        join = _join(documents, width, threshold, scratch)
+        nodes = _nodes(join)
+        first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+        chosen = nodes.groupBy(F.coalesce("label", "fp").alias("label")).agg(first).select("first.fp", "first.least")
+        # of the chosen document's texts, if it has several with the same shingles, one
+        texts = join.members.where("n > 0").groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+        one = F.min(F.struct("text_hash", "n_rows")).alias("one")
+        texts = texts.join(chosen.withColumnRenamed("fp", "f"), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("least")))
+        chosen = stored(texts.groupBy("fp", "doc_id").agg(one).select(F.col("doc_id").alias("k_doc"), F.col("one.text_hash").alias("k_text"), F.col("one.n_rows").alias("k_rows")), "chosen")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("r_doc"), F.xxhash64(utf8()).alias("r_text"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    kept = lambda of: rows.where("words").join(chosen.where(of), F.col("r_doc").eqNullSafe(F.col("k_doc")) & (F.col("r_text") == F.col("k_text")))
+    repeated = kept("k_rows > 1").groupBy("k_doc", "k_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept("k_rows = 1").select("row").unionByName(repeated.select("row")).unionByName(rows.where("not words").select("row")).select("row.*")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

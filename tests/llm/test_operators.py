@@ -652,13 +652,42 @@ def test_near_copies_against_brute_force(spark):
 def test_prefix_orders_lose_no_pair():
     rng = np.random.default_rng(13)
     classes = rng.integers(0, 6, 1 << jaccard.CELL_BITS).astype(np.uint8)
-    for _ in range(300):
+    kept, first = collections.Counter(), collections.Counter()
+    for _ in range(600):
         x = rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64)
-        y = np.concatenate([x[rng.random(len(x)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)])
+        y = np.concatenate([x[rng.random(len(x)) > rng.choice([0.1, 0.25])], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)])
         x, y = (np.unique(v) for v in (x, y))
         both = len(np.intersect1d(x, y))
         if len(y):
-            assert jaccard.linked(jaccard.ordered(x, classes), jaccard.ordered(y, classes), (4, 5)) == (both * 5 >= (len(x) + len(y) - both) * 4)
+            alike = both * 5 >= (len(x) + len(y) - both) * 4
+            a, b = jaccard.ordered(x, classes), jaccard.ordered(y, classes)
+            assert jaccard.linked(a, b, (4, 5)) == alike
+            p, q = jaccard.prefix_length(len(a), (4, 5)), jaccard.prefix_length(len(b), (4, 5))
+            more = [b"".join(jaccard.short_prefix(t, m, k).tobytes() for m in jaccard.ORDERS) for t, k in ((a, p), (b, q))]
+            allowed = jaccard.orders_allow(a[:p], b[:q], *more, len(a), len(b), (4, 5))
+            assert allowed or not alike
+            kept[alike] += allowed
+            first[alike] += jaccard.prefixes_allow(a[:p], b[:q], len(a), len(b), (4, 5))
+    assert kept[False] < first[False]
+
+
+def test_bands_and_parts_lose_no_pair(spark, monkeypatch):
+    for t, s in ((4, 5), (1, 2), (9, 10), (1, 1)):
+        n = spark.range(1, 3000).select(F.col("id").alias("n"), jaccard.band(F.col("id"), (t, s)).alias("band")).collect()
+        bands = {r.n: r.band for r in n}
+        for i in range(1, 3000):
+            for j in {i, -(-i * t // s), min(2999, i * s // t)}:
+                if j and min(i, j) * s >= max(i, j) * t:
+                    assert abs(bands[i] - bands[j]) <= 1
+    monkeypatch.setattr(jaccard, "PART_NODES", 3)
+    monkeypatch.setattr(jaccard, "MERGED", 2)
+    monkeypatch.setattr(jaccard, "PICKED", 0)
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(40)}" for _ in range(40)]
+    texts = [" ".join(base[: rng.randrange(30, 41)] + [f"x{rng.randrange(30)}" for _ in range(rng.randrange(0, 8))]) for _ in range(150)]
+    _, component = brute_components(texts)
+    rows = {r.doc_id: r.component_id for r in jaccard.near_copies(documents(spark, texts).repartition(7)).collect()}
+    assert [rows[i] for i in range(len(texts))] == component
 
 
 def test_components_of_random_links(spark):
