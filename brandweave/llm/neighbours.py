@@ -6,7 +6,10 @@ the residual across it, since only the former moves large inner products; the we
 threshold on the cosine. Codes are found by coordinate descent over the subspaces.
 
 The index holds every row: norm, packed four-bit codes, and the vector itself. It is dealt by hash
-into blocks; queries are dealt into groups. A task scans one block for one group: tables of partial
+into blocks; queries are dealt into groups. All queries meet all rows, so what is moved is each row
+once for each group and each query once for each block: both are as large as a task can hold, and
+each task and each partition of the results keeps k rows of a query only. A task scans one block for
+one group: tables of partial
 inner products, one for each byte of two codes, are summed over the codes, and each query's best
 rows by these sums are scored exactly from the vectors, and so are all others whose sums, with a margin
 for what their codes leave out, might still reach the k-th: among near copies the sums alone say little.
@@ -31,8 +34,10 @@ from brandweave.llm.common import small_batches, stored, table
 
 #: The bound of the sample that codebooks are fitted to: rows in the order of a hash of vec_id.
 SAMPLE = 20_000
-BLOCK_ROWS = 8192
-GROUP_QUERIES = 4096
+#: Blocks hold at most so many rows, and fewer where that gives all cores work; groups at most so many queries.
+BLOCK_ROWS = 65_536
+LEAST_ROWS = 4096
+GROUP_QUERIES = 16_384
 RERANKED = 96
 #: Rows are scored exactly if their sums are less than so many standard errors below the k-th score.
 MARGIN = 3.0
@@ -143,15 +148,16 @@ def pack_codes(codes: np.ndarray) -> np.ndarray:
 def build(vectors: DataFrame, sample_rows: int = SAMPLE, threshold: float = 0.2) -> tuple[DataFrame, Codebooks | None]:
     """The stored index of all usable rows and its codebooks; None where there are none.
 
-    All vectors have the dimension of the first sampled one; others take no part.
+    All vectors have the dimension that most rows have, of equals the smaller; others take no part.
     """
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
-    if not sample.num_rows:
+    common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if common is None:
         return rows.select("vec_id", "vector", F.lit(0.0).alias("norm"), F.lit(b"").alias("codes")), None
-    dim = len(sample["vector"][0])
-    same = sample.filter(pc.equal(pc.list_value_length(sample["vector"]), dim))
-    books = fit(_matrix(same["vector"].combine_chunks(), dim).astype(np.float64), threshold)
+    dim = common.dim
+    rows = rows.where(F.size("vector") == dim)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).toArrow()
+    books = fit(_matrix(sample["vector"].combine_chunks(), dim).astype(np.float64), threshold)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +168,7 @@ def build(vectors: DataFrame, sample_rows: int = SAMPLE, threshold: float = 0.2)
                 codes = pack_codes(assign(_split(x / norms[:, None]), books.words, books.parallel))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norms), pa.array([c.tobytes() for c in codes], type=pa.binary())], names=["vec_id", "vector", "norm", "codes"])
 
-    return stored(rows.where(F.size("vector") == dim).mapInArrow(encode, INDEX), "index"), books
+    return stored(rows.mapInArrow(encode, INDEX), "index"), books
 
 
 def tables(queries: np.ndarray, books: Codebooks) -> np.ndarray:
@@ -191,6 +197,8 @@ def scan_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
     out = []
     exact = vectors[first].astype(np.float64)
     scale, packed = norms[first].astype(np.float32)[:, None], codes[first]
+    # rows of the query's own id are left out, so as many more must be kept
+    wanted = k + np.searchsorted(ids, query_ids, side="right") - np.searchsorted(ids, query_ids, side="left")
     doubt = (np.linalg.norm(exact - decoded(packed, books) * norms[first][:, None], axis=1) / np.sqrt(books.dim)).astype(np.float32)
     for at in range(0, len(queries), 64):
         q = queries[at : at + 64].astype(np.float64)
@@ -199,19 +207,18 @@ def scan_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
         for j in range(packed.shape[1]):
             sums += lut[j][packed[:, j]]
         sums *= scale
-        keep = min(len(first), max(reranked, k + 1))
+        keep = min(len(first), max(reranked, int(wanted[at : at + 64].max())))
         best = np.argpartition(-sums, keep - 1, axis=0)[:keep].T if keep < len(first) else np.tile(np.arange(len(first)), (len(q), 1))
         scores = np.einsum("qrd,qd->qr", exact[best], q)
         for i in range(len(q)):
-            rows, score = best[i], scores[i]
-            last = np.sort(score)[-min(k + 1, len(score))]
+            rows, score, want = best[i], scores[i], int(wanted[at + i])
+            last = np.sort(score)[-min(want, len(score))]
             if keep < len(first):
                 more = np.flatnonzero(sums[:, i] + MARGIN * lengths[i] * doubt >= last)
                 rows = np.union1d(rows, more)
                 score = np.einsum("rd,d->r", exact[rows], q[i])
-                last = np.sort(score)[-min(k + 1, len(score))]
-            # up to k + 1 of each vector's ids, since the query's own is left out
-            found = [(by_vector[starts[u] : min(starts[u] + k + 1, starts[u + 1])], s) for u, s in zip(rows[score >= last], score[score >= last], strict=True)]
+                last = np.sort(score)[-min(want, len(score))]
+            found = [(by_vector[starts[u] : min(starts[u] + want, starts[u + 1])], s) for u, s in zip(rows[score >= last], score[score >= last], strict=True)]
             mine = ids[np.concatenate([f for f, _ in found])]
             score = np.concatenate([np.full(len(f), s) for f, s in found])
             other = mine != query_ids[at + i]
@@ -224,14 +231,17 @@ def scan_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
 def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int = 20, reranked: int = RERANKED, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found.
 
-    ``queries`` are usable (vec_id, vector), of which rows with the same id must be alike. A query's
-    own id is no candidate; with fewer than k others, all are returned.
+    ``queries`` are usable (vec_id, vector); of rows with the same id the smallest vector, component by
+    component, is the query. A query's own id is no candidate; with fewer than k others, all are
+    returned. As candidates, rows that share an id are rows of their own.
     """
     spark = index.sparkSession
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = queries.where(F.size("vector") == books.dim).dropDuplicates(["vec_id"])
-    blocks, groups = max(1, -(-index.count() // block_rows)), max(1, -(-queries.count() // group_queries))
+    queries = queries.where(F.size("vector") == books.dim).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    n = index.count()
+    blocks = max(1, -(-n // block_rows), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism))
+    groups = max(1, -(-queries.count() // group_queries))
     dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = index.withColumn("block", dealt(blocks, 1)).withColumn("group", every(groups))

@@ -122,5 +122,9 @@ def test_vectors(spark):
     index, books = neighbours.build(vectors)
     found = neighbours.search(index, books, neighbours.usable(vectors).where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found] == [(0, 1, 8, 2.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 9, -1.0)]
+    more = spark.createDataFrame([(20, [0.0, 1.0], 0.0, 0), (20, [-1.0, 1.0], 0.0, 0), (21, [1.0, 2.0, 3.0], 0.0, 0), (8, [2.0, 1.5], 0.0, 0)], schema)
+    index, books = neighbours.build(vectors.unionByName(more))
+    found = neighbours.search(index, books, neighbours.usable(more).where("vec_id = 20"), k=3).orderBy("rank").collect()
+    assert books.dim == 2 and [(r.query_id, r.vec_id, r.score) for r in found] == [(20, 9, 4.0), (20, 8, -0.5), (20, 0, -1.0)]
     index, books = neighbours.build(vectors.limit(0))
     assert neighbours.search(index, books, neighbours.usable(vectors)).count() == 0
