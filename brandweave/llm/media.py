@@ -6,13 +6,14 @@ archives they finished; an attempt that is lost leaves a file that no manifest n
 
 The data source ``media_archives`` plans byte ranges over the archives of a manifest. A task reads
 the directory of its archive, takes the members whose offset lies in its range, and streams them in
-Arrow batches of bounded size. Each member is read by its offset and retried by itself, on a new
-handle, when reading fails or its checksum does not match. Paths go through Arrow's file systems, so
+Arrow batches of bounded size. Members are read by their offsets on one open handle; each is retried
+by itself, on a new handle, when reading fails or its checksum does not match. Paths go through Arrow's file systems, so
 any shared store they know will do; only names and sizes pass through the driver.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import struct
@@ -139,16 +140,19 @@ class ByteRange(InputPartition):
         super().__init__(None)
 
 
-def _member(store: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
-    """The stored bytes at a member's offset, checked against the directory."""
-    with store.open_input_file(path) as file:
-        file.seek(info.header_offset)
-        head = file.read(30)
-        if head[:4] != b"PK\x03\x04":
-            raise OSError("no member starts at this offset")
-        skip = sum(struct.unpack("<HH", head[26:30]))
-        file.seek(info.header_offset + 30 + skip)
-        data = file.read(info.compress_size)
+#: What reading a damaged or cut archive may raise, besides what stores raise.
+UNREADABLE = (OSError, EOFError, zipfile.BadZipFile, struct.error)
+
+
+def _member(file: pa.NativeFile, info: zipfile.ZipInfo) -> bytes:
+    """The stored bytes at a member's offset, checked against the directory, in one read: the members
+    are written here, so their local headers have the names of the directory and nothing more."""
+    size = 30 + len(info.filename.encode())
+    file.seek(info.header_offset)
+    own = file.read(size + info.compress_size)
+    if own[:4] != b"PK\x03\x04" or size != 30 + sum(struct.unpack("<HH", own[26:30])):
+        raise OSError("no member of this name starts at this offset")
+    data = own[size:]
     if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
         raise OSError("a member's checksum does not match")
     return data
@@ -177,19 +181,21 @@ class ArchiveReader(DataSourceReader):
                 with store.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
                     infos = sorted((i for i in archive.infolist() if partition.start <= i.header_offset < partition.end), key=lambda i: i.header_offset)
                 break
-            except OSError:
+            except UNREADABLE:
                 if attempt + 1 == self.attempts:
                     raise
                 time.sleep(self.pause * 2**attempt)
-        held, size = [], 0
+        held, size, file = [], 0, None
         for info in infos:
             for attempt in range(self.attempts):
                 try:
-                    data = _member(store, path, info)
+                    file = file or store.open_input_file(path)
+                    data = _member(file, info)
                     break
-                except OSError:
+                except UNREADABLE:
                     if attempt + 1 == self.attempts:
                         raise
+                    file = _closed(file)
                     time.sleep(self.pause * 2**attempt)
             held.append((partition.archive, info.header_offset, info.filename, data))
             size += len(data)
@@ -198,6 +204,14 @@ class ArchiveReader(DataSourceReader):
                 held, size = [], 0
         if held:
             yield _members(held)
+        _closed(file)
+
+
+def _closed(file: pa.NativeFile | None) -> None:
+    """Closes a handle that may be broken."""
+    if file is not None:
+        with contextlib.suppress(OSError):
+            file.close()
 
 
 def _members(rows: list[tuple]) -> pa.RecordBatch:
