@@ -4,10 +4,11 @@ A block is a run of consecutive words, as many as the template has words divided
 rounded up (or the whole text, if shorter). It meets a template when it holds at least the threshold
 share of the template's distinct words. Template words are ordered by their number in the whole
 corpus, rarest first. A block that meets the threshold must hold one of the template's prefix words
-(length filter on the block, prefix filter on the template), and the rarest template word it holds
-must leave enough words behind it to reach the threshold (positional filter); only blocks around
-such words are counted out. Templates are a parameter and small; what is sent to the workers follows
-their size, not the corpus.
+(length filter on the block, prefix filter on the template). The place of the rarest template word
+that it holds bounds what it can hold at all: no more than the template has behind that word in its
+order, and no more than stand of those around it in the text (positional filter). Only blocks around
+words that pass are counted out. Templates are a parameter; what is sent to the workers follows their
+size, not the corpus, and they may be sentences or whole licenses.
 """
 
 from __future__ import annotations
@@ -110,6 +111,17 @@ class _Template:
         self.prefix = self.words[: len(self.words) - self.need + 1]
 
 
+def _leads(template: _Template, places: np.ndarray, ranks: np.ndarray, width: int) -> np.ndarray:
+    """Places of prefix words that may be the rarest of a block that meets the threshold: behind them,
+    in the template's order and around them in the text, enough other words are left."""
+    keep = np.zeros(len(places), dtype=bool)
+    for rank in np.unique(ranks[ranks < len(template.prefix)]).tolist():
+        mine, behind = ranks == rank, places[ranks > rank]
+        near = np.searchsorted(behind, places[mine] + width) - np.searchsorted(behind, places[mine] - width, side="right")
+        keep[mine] = 1 + np.minimum(len(template.words) - rank - 1, near) >= template.need
+    return places[keep]
+
+
 def _blocks(template: _Template, places: np.ndarray, ranks: np.ndarray, n_words: int) -> list[tuple]:
     """Merged runs of blocks that meet the threshold, of one text.
 
@@ -118,7 +130,7 @@ def _blocks(template: _Template, places: np.ndarray, ranks: np.ndarray, n_words:
     width, k = min(template.width, n_words), len(template.words)
     if width < template.need:
         return []
-    first = places[ranks < len(template.prefix)]
+    first = _leads(template, places, ranks, width)
     if not len(first):
         return []
     spans: list[list[int]] = []
