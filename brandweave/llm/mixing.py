@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import stored, table
+from brandweave.llm.common import Scratch, stored, table
 
 BROADCAST_SOURCES = 20_000
 SALTS = 64
@@ -36,10 +36,10 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked_sources(sources: DataFrame) -> DataFrame:
+def ranked_sources(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``rank``, from 1 by code point with null last, without one task seeing all sources."""
     order = F.col("source").asc_nulls_last()
-    dealt = stored(sources.repartitionByRange(RANK_PARTITIONS, order).withColumn("part", F.spark_partition_id()), "ranked")
+    dealt = scratch.stored(sources.repartitionByRange(RANK_PARTITIONS, order).withColumn("part", F.spark_partition_id()), "ranked")
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
     within = F.row_number().over(W.partitionBy("part").orderBy(order))
@@ -109,6 +109,12 @@ def _join_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.col("order_key"), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"]).drop("salt")
 
 
+def _order_key() -> Column:
+    """A hash of doc_id and text, of 60 bits, so that rows with one doc_id don't stand together."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col("text"), F.lit("")))
+    return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long")
+
+
 def _group() -> Column:
     return F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), F.col("source")))
 
@@ -130,14 +136,19 @@ def plan(documents: DataFrame, weight: Column | None = None, schedule: Column |
     give equal plans in any partitioning. An empty input gives an empty plan.
     """
     weight = ((F.col("rank") - 1) % 3 + 1) if weight is None else weight
-    sized = documents.select(*_key(), n_words().alias("size")).groupBy("doc_id", "source", "text_hash", "no_text").agg(F.count(F.lit(1)).alias("n_rows"), F.max("size").alias("size"))
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = stored(sized.withColumn("group", _group()).withColumn("order_key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), "sized")
+    with Scratch(documents.sparkSession) as scratch:
+        return stored(_plan(documents, weight, schedule, max_epochs, scratch), "plan")
+
+
+def _plan(documents: DataFrame, weight: Column, schedule: Column | None, max_epochs: int, scratch: Scratch) -> DataFrame:
+    sized = documents.select(*_key(), n_words().alias("size"), _order_key().alias("order_key")).groupBy("doc_id", "source", "text_hash", "no_text")
+    sized = sized.agg(F.count(F.lit(1)).alias("n_rows"), F.max("size").alias("size"), F.max("order_key").alias("order_key"))
+    sized = scratch.stored(sized.withColumn("group", _group()), "sized")
 
     words = F.col("size") * F.col("n_rows")
     sources = sized.groupBy("group", "source").agg(F.sum(words).alias("source_size"), F.sum("n_rows").alias("source_rows"))
-    sources = stored(ranked_sources(sources).withColumn("weight", weight).withColumn("knots", schedule if schedule is not None else default_schedule()), "sources")
-    sources = stored(_with_areas(targets(sources, max_epochs)).drop("source"), "targets")
+    sources = scratch.stored(ranked_sources(sources, scratch).withColumn("weight", weight).withColumn("knots", schedule if schedule is not None else default_schedule()), "sources")
+    sources = scratch.stored(_with_areas(targets(sources, max_epochs)).drop("source"), "targets")
     few = sources.count() <= BROADCAST_SOURCES
 
     means = sources.select("group", (F.col("source_size") / F.col("source_rows")).alias("mean"))
@@ -157,7 +168,7 @@ def plan(documents: DataFrame, weight: Column | None = None, schedule: Column |
     inside = W.partitionBy(*keys).orderBy("order_key", "doc_id", "text_hash", "no_text").rowsBetween(W.unboundedPreceding, -1)
     placed = cells.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(by_fine, keys)
     placed = placed.withColumn("before", F.col("inside") + F.col("fine_before") + F.col("coarse_before"))
-    placed = stored(placed.drop("inside", "fine_before", "coarse_before", "coarse", "fine", "mean"), "placed")
+    placed = scratch.stored(placed.drop("inside", "fine_before", "coarse_before", "coarse", "fine", "mean"), "placed")
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("epochs", whole).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))
@@ -166,7 +177,7 @@ def plan(documents: DataFrame, weight: Column | None = None, schedule: Column |
     sources = sources.join(big_words, "group").withColumn("big_demand", F.when(F.col("source_size") > 0, F.col("rest") * F.col("big_size") / F.col("source_size")).otherwise(0.0))
     bigs = _join_sources(placed.where("big"), sources.select("group", "big_demand"), few).where(middle <= F.col("big_demand"))
     bigs = bigs.groupBy("group").agg(F.sum("words").alias("big_taken"))
-    sources = stored(
+    sources = scratch.stored(
         sources.join(bigs, "group", "left")
         .fillna(0, ["big_taken"])
         .withColumn("small_demand", F.greatest(F.col("rest") - F.col("big_taken"), F.lit(0.0)))
@@ -216,7 +227,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS digest
+         md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')) AS digest
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, avg(size) AS mean,
