@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import SAME, SPACES, hash_words, mix64, slices, small_batches, stored, table, utf8
+from brandweave.llm.common import SAME, SPACES, Scratch, hash_words, mix64, slices, small_batches, stored, table, utf8
 
 BUCKETS = 1 << 14
 #: The bound of the labelled sample: rows of labels in the order of a hash of their doc_id.
@@ -34,17 +34,12 @@ KINDS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 KINDS[list(SPACES)] = 0
 
 
-#: All runs of the same token twice share one hash, whatever the token.
-REPEAT = np.uint64(0x5EED_0000_0000_0003)
-
-
 def hashed_runs(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all one- and two-token runs, and the text each is from."""
     tokens, n = hash_words(texts, KINDS, SAME)
     text = np.repeat(np.arange(len(n)), n)
     with np.errstate(over="ignore"):
         pairs = mix64(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:]) if len(tokens) > 1 else tokens[:0]
-        pairs[tokens[1:] == tokens[:-1]] = REPEAT
     inside = text[1:] == text[:-1]
     runs = np.concatenate([tokens, pairs[inside]])
     return (runs % np.uint64(buckets)).astype(np.int64), np.concatenate([text, text[1:][inside]])
@@ -72,7 +67,11 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_lab
     the log weight that parts the last third with the fewest errors. Without labelled good documents
     every ratio is 0 and every document counts as good.
     """
-    sample = stored(labelled_sample(labels, max_labels), "labels")
+    with Scratch(documents.sparkSession) as scratch:
+        return _fit(documents, scratch.stored(labelled_sample(labels, max_labels), "labels"), buckets, smoothing)
+
+
+def _fit(documents: DataFrame, sample: DataFrame, buckets: int, smoothing: float) -> Weights:
     known = F.broadcast(sample)  # max_labels rows at most
     rows = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(known, "doc_id", "left")
     rows = rows.withColumn("tuning", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(3)) == 0)
@@ -161,26 +160,34 @@ def select(documents: DataFrame, weights: Weights, k: int | None = None, seed: i
     fitted threshold or more. Rows with the k-th key are all kept. Null and empty texts have weight
     0; repeated rows share their key. An empty input gives an empty result.
     """
+    scored = stored(_keys(documents, weights, seed), "scored")
+    least = _least(scored, weights, k)
+    return scored.withColumn("kept", F.col("key") >= F.lit(least))
+
+
+def _keys(documents: DataFrame, weights: Weights, seed: int) -> DataFrame:
     rows = small_batches(documents).select(F.struct("doc_id", "text").alias("row"), gumbel(seed).alias("noise"))
-    scored = stored(_scored(rows, weights.ratio).select("row.doc_id", "log_weight", "key"), "scored")
+    return _scored(rows, weights.ratio).select("row.doc_id", "log_weight", "key")
+
+
+def _least(scored: DataFrame, weights: Weights, k: int | None) -> float:
+    """The k-th largest key, or that of as many as have the fitted log weight."""
     total, good = scored.agg(F.count(F.lit(1)), F.count(F.when(F.col("log_weight") >= weights.threshold, 1))).first()
     k = min(total, good if k is None else k)
-    least = kth_largest(scored, k) if k else float("inf")
-    return scored.withColumn("kept", F.col("key") >= F.lit(least)).withColumn("least", F.lit(least))
+    return kth_largest(scored, k) if k else float("inf")
 
 
 def keep(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, **options) -> DataFrame:
     """The documents that the selection keeps, with their own columns."""
     weights = fit(documents, labels, **options)
-    chosen = select(documents, weights, k, seed).select("least").first()
-    if chosen is None:
-        return documents
+    with Scratch(documents.sparkSession) as scratch:
+        least = _least(scratch.stored(_keys(documents, weights, seed), "scored"), weights, k)
     rows = small_batches(documents).select(F.struct("*").alias("row"), gumbel(seed).alias("noise"))
-    return _scored(rows, weights.ratio).where(F.col("key") >= F.lit(chosen.least)).select("row.*")
+    return _scored(rows, weights.ratio).where(F.col("key") >= F.lit(least)).select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log weight and whether it is kept."""
     documents = table(spark, sf_dir, "documents")
     weights = fit(documents, table(spark, sf_dir, "labels"))
-    return select(documents, weights).drop("least")
+    return select(documents, weights)

@@ -64,15 +64,19 @@ def test_media_retries_members(spark, monkeypatch):
     reader = media.ArchiveReader({"path": f"{folder}/manifest", "pause": "0"})
     real, failed = media._member, []
 
-    def flaky(store, path, info):
+    handles = []
+
+    def flaky(file, info):
+        handles.append(file)
         if info.filename not in failed:
             failed.append(info.filename)
-            raise OSError("lost")
-        return real(store, path, info)
+            raise (OSError, media.struct.error)[len(failed) % 2]("lost")
+        return real(file, info)
 
     monkeypatch.setattr(media, "_member", flaky)
     parts = reader.partitions()
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 2 and len(failed) == 2
+    assert len(handles) == 4 and handles[1] is handles[2] and handles[0] is not handles[1] and handles[2] is not handles[3]
     monkeypatch.setattr(media, "_member", lambda *a: (_ for _ in ()).throw(OSError("gone")))
     with pytest.raises(OSError):
         [b for p in parts for b in reader.read(p)]
@@ -328,6 +332,33 @@ def test_kth_largest_with_ties(spark):
         assert quality.kth_largest(keys, k, buckets=7, few=20) == sorted(values, reverse=True)[k - 1]
 
 
+def brute_log_weights(spark, texts, labels, buckets=quality.BUCKETS):
+    """Each text's log weight, from counts over buckets of single runs and pairs hashed one by one."""
+    parts = spark.range(len(texts)).select(F.col("id"), (F.pmod(F.xxhash64("id", F.lit(quality.SEED)), F.lit(3)) == 0).alias("tuning"))
+    tuning = {r.id: r.tuning for r in parts.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality and not tuning[r.doc_id]}
+    of, runs = {}, []
+    for text in texts:
+        tokens = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\s0-9A-Za-z\x80-\U0010ffff]+", text)
+        for run in [(t,) for t in tokens] + list(zip(tokens, tokens[1:])):
+            if run not in of:
+                own = quality.hashed_runs([" ".join(run).encode() if len(run) == 1 or run[0][0].isalnum() == run[1][0].isalnum() else "".join(run).encode()], buckets)[0]
+                of[run] = int(own[-1])
+        runs.append([of[t,] for t in tokens] + [of[p] for p in zip(tokens, tokens[1:])])
+    raw, target = collections.Counter(), collections.Counter()
+    for i, own in enumerate(runs):
+        raw.update(own)
+        if i in good:
+            target.update(own)
+    n, m = sum(raw.values()), sum(target.values())
+
+    def ratio(b):
+        share = (raw[b] + 1) / (n + buckets)
+        return math.log((target[b] + buckets * share) / (m + buckets)) - math.log(share)
+
+    return [sum(ratio(b) for b in own) for own in runs]
+
+
 def test_quality_parts_shouting_from_prose(spark):
     rng = random.Random(4)
     prose = [" ".join(rng.choice("the of river stone light walks under green".split()) for _ in range(80)) + "." for _ in range(300)]
@@ -337,6 +368,9 @@ def test_quality_parts_shouting_from_prose(spark):
     kept = {r.doc_id for r in quality.keep(docs, labels).collect()}
     held_out = range(1, 400, 2)
     assert sum((i in kept) == (i < 300) for i in held_out) >= 0.97 * len(held_out)
+    expected = brute_log_weights(spark, prose + junk, labels)
+    found = {r.doc_id: r.log_weight for r in quality.select(docs, quality.fit(docs, labels)).collect()}
+    assert all(math.isclose(found[i], w, rel_tol=1e-9, abs_tol=1e-9) for i, w in enumerate(expected))
     chosen = quality.select(docs, quality.fit(docs, labels), k=50)
     assert chosen.where("kept").count() == 50
     assert chosen.where("kept").agg(F.min("key")).first()[0] >= chosen.where("not kept").agg(F.max("key")).first()[0]
@@ -745,6 +779,19 @@ def test_license_scan_against_brute_force(spark):
         assert sorted((b.label, b.template, b.start, b.end, round(b.containment, 9)) for b in r.blocks) == sorted((*e[:4], round(e[4], 9)) for e in expected)
 
 
+def test_long_templates_find_their_own_text(spark):
+    rng = random.Random(23)
+    for size in (300, 400, 900):
+        words = [f"v{i}" for i in range(size)]
+        own = list(words)
+        for i in rng.sample(range(size), size // 6):
+            own[i] = "zz"
+        texts = [" ".join(["a"] * 50 + words + ["b"] * 50), " ".join(own), " ".join(words[: size * 7 // 10])]
+        rows = {r.doc_id: r.blocks for r in licenses.scan(documents(spark, texts), templates=(("long", " ".join(words)),)).collect()}
+        assert [len(rows[i]) for i in range(3)] == [1, 1, 0]
+        assert rows[0][0].containment == 1.0 and 0.8 <= rows[1][0].containment < 0.9
+
+
 def test_license_lines_get_their_own_label(spark):
     lines = {
         "Licensed under CC BY 4.0": "cc-by",
