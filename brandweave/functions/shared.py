@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="brandweave-"))
         named = context.getCheckpointDir()
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to the shared folder: for small tables that a job uses several times."""
+    path = fresh_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

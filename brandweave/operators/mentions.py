@@ -1,7 +1,8 @@
 """Brands in texts: mentions, share of voice, contexts, opinions and distinctive terms.
 
 A token is a run of letters in the lower-cased text. Terms are matched as whole tokens against a
-watchlist that the caller supplies; it and the lexicon are broadcast, since both are hand-made.
+watchlist that the caller supplies. It and the lexicon are joined without a hint: Spark sends them to
+all tasks while they are small.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def mentions(units: DataFrame, watchlist: DataFrame, keys: tuple[str, ...] = ("d
     """One row for each unit, brand and token position, from 0; with ``context``, the tokens around it."""
     words = units.select(*keys, tokens().alias("words"))
     spread = words.select(*keys, F.posexplode("words").alias("position", "term"), "words") if context else words.select(*keys, F.posexplode("words").alias("position", "term"))
-    found = spread.join(F.broadcast(watchlist), "term")
+    found = spread.join(watchlist, "term")
     columns = [*keys, "brand", "term", F.col("position").cast("long").alias("position")]
     if context:
         start = F.greatest(F.col("position") - context, F.lit(0))
@@ -60,7 +61,7 @@ def _context_words(found: DataFrame) -> DataFrame:
 
 def mention_opinion(found: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean weight of the lexicon's words around each brand's mentions, and their number."""
-    near = _context_words(found).groupBy("brand", "word").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(lexicon), "word")
+    near = _context_words(found).groupBy("brand", "word").agg(F.count(F.lit(1)).alias("n")).join(lexicon, "word")
     return near.groupBy("brand").agg(F.sum("n").alias("n_words"), F.round(F.sum(F.col("n") * F.col("weight")) / F.sum("n"), 6).alias("opinion"))
 
 
@@ -73,7 +74,7 @@ def distinctive_terms(found: DataFrame, k: int = 5) -> DataFrame:
     words = counts.groupBy("word").agg(F.sum("y").alias("prior"))
     brands = counts.groupBy("brand").agg(F.sum("y").alias("n"))
     total = brands.agg(F.sum("n").alias("all"))
-    rows = counts.join(words, "word").join(F.broadcast(brands), "brand").join(F.broadcast(total))
+    rows = counts.join(words, "word").join(brands, "brand").join(F.broadcast(total))  # one row
     y, other = F.col("y") + F.col("prior"), F.col("prior") - F.col("y") + F.col("prior")
     odds = F.log(y / (F.col("n") + F.col("all") - y)) - F.log(other / (F.col("all") - F.col("n") + F.col("all") - other))
     scored = rows.withColumn("score", F.round(odds / F.sqrt(1 / y + 1 / other), 6))

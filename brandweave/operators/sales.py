@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from brandweave.functions.shared import stored
 from brandweave.sources.tables import revenue
 
+
 def total():
     """Exact revenue of a group."""
     return F.sum("revenue")
@@ -40,14 +42,14 @@ def brand_share(sales: DataFrame, by: str = "region") -> DataFrame:
 def brand_trend(sales: DataFrame, grain: str = "month") -> DataFrame:
     """Revenue by period and brand, the change from the period before, and the movement in rank.
 
-    Every brand has a row for every period from the first to the last; without sales it is 0.
+    Every brand has a row for every period from the first to the last; without sales it is 0. The totals
+    by period and brand are stored once, since the calendar and the rows both come from them.
     """
     period = F.date_trunc(grain, "ordered").cast("timestamp_ntz")
-    totals = sales.groupBy(period.alias("period"), "brand").agg(total().alias("exact"))
-    step = F.expr(f"interval 1 {grain}")
-    calendar = totals.agg(F.min("period").alias("a"), F.max("period").alias("b")).select(F.explode(F.sequence("a", "b", step)).alias("period"))
-    # one row for each period and brand: both sides are small sets of names
-    frame = calendar.join(F.broadcast(totals.select("brand").distinct()))
+    totals = stored(sales.groupBy(period.alias("period"), "brand").agg(total().alias("exact")), "totals")
+    first, last = totals.agg(F.min("period"), F.max("period")).first()
+    calendar = F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr(f"interval 1 {grain}"))
+    frame = totals.select("brand").distinct().select("brand", F.explode(calendar).alias("period"))
     full = frame.join(totals, ["period", "brand"], "left").withColumn("exact", F.coalesce("exact", F.lit(0)))
     ranked = full.withColumn("rank", F.rank().over(W.partitionBy("period").orderBy(F.desc("exact"), "brand")).cast("long"))
     before = W.partitionBy("brand").orderBy("period")
@@ -81,11 +83,26 @@ def brand_top_parts(sales: DataFrame, k: int = 3) -> DataFrame:
     return totals.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("brand", "place", "part_key", F.col("exact").cast("double").alias("revenue"))
 
 
+def _medians(prices: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and median price by key, of counted prices; null prices count as rows only."""
+    group = W.partitionBy(*keys)
+    upto = F.sum(F.when(F.col("p_retailprice").isNotNull(), F.col("n"))).over(group.orderBy(F.col("p_retailprice").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
+    known = F.sum(F.when(F.col("p_retailprice").isNotNull(), F.col("n"))).over(group)
+    rows = prices.select(*keys, "p_retailprice", "n", upto.alias("upto"), known.alias("known"))
+    at = lambda rank: F.min(F.when((F.col("upto") >= rank) & F.col("p_retailprice").isNotNull(), F.col("p_retailprice")))
+    low, high = at(F.floor((F.col("known") + 1) / 2)), at(F.floor(F.col("known") / 2) + 1)
+    return rows.groupBy(*keys).agg(((low + high) / 2).alias("median"), F.sum("n").alias("total"))
+
+
 def brand_price_position(part: DataFrame) -> DataFrame:
-    """Exact median price of each brand's parts of a type against the type's median."""
-    median = F.expr("percentile(p_retailprice, 0.5)")
-    types = part.groupBy("p_type").agg(median.alias("type_median"))
-    own = part.groupBy("p_brand", "p_type").agg(median.alias("median"), F.count(F.lit(1)).alias("n_parts"))
+    """Exact median price of each brand's parts of a type against the type's median.
+
+    Prices are counted first, so a median is found in a running sum over different prices, which Spark
+    sorts on disk where they are many; no task holds a type's prices in memory.
+    """
+    prices = part.groupBy("p_brand", "p_type", "p_retailprice").agg(F.count(F.lit(1)).alias("n"))
+    types = _medians(prices.groupBy("p_type", "p_retailprice").agg(F.sum("n").alias("n")), ["p_type"]).select("p_type", F.col("median").alias("type_median"))
+    own = _medians(prices, ["p_brand", "p_type"]).withColumnRenamed("total", "n_parts")
     return own.join(types, "p_type").select(
         F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), "n_parts", F.round("median", 6).alias("median"), F.round("type_median", 6).alias("type_median"), F.round(F.col("median") / F.col("type_median"), 6).alias("position")
     )
@@ -132,9 +149,8 @@ def brand_switching(sales: DataFrame) -> DataFrame:
 
 def brand_lapsed(sales: DataFrame, cutoff: str = "2000-01-01") -> DataFrame:
     """(brand, customer) with a purchase before the cutoff and none from it on."""
-    at = F.to_timestamp_ntz(F.lit(cutoff))
-    before = sales.where(F.col("ordered") < at).select("brand", "customer").distinct()
-    return before.join(sales.where(F.col("ordered") >= at).select("brand", "customer"), ["brand", "customer"], "left_anti")
+    last = sales.groupBy("brand", "customer").agg(F.max("ordered").alias("last"))
+    return last.where(F.col("last") < F.to_timestamp_ntz(F.lit(cutoff))).select("brand", "customer")
 
 
 def brand_concentration(sales: DataFrame, by: str = "region") -> DataFrame:

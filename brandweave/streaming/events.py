@@ -6,7 +6,6 @@ in one place. ``run_stream`` drives a streaming DataFrame to the end of what is
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from brandweave.functions.shared import fresh_path
 from brandweave.sources.tables import SCHEMAS
@@ -49,7 +49,7 @@ def run_stream(frame: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def tumbling_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events, users and value by window and type."""
+    """Events and their value by window and type."""
     return sliding_counts(events, size, size, late)
 
 
@@ -105,38 +105,38 @@ def spikes(events: DataFrame, z: float = 2.0, size: str = "1 day", least: int =
     )
 
 
-def spike_stream(events: DataFrame, z: float = 2.0, size: str = "1 day", least: int = 3, late: str = "1 hour") -> DataFrame:
-    """The same over a stream, in append mode: a window is judged once the watermark has passed it.
+class _Judge(StatefulProcessor):
+    """Holds the closed windows of one type: their number, the sum and the sum of squares of counts."""
 
-    The state of a type holds the number of its closed windows, their sum and sum of squares, and the
-    counts of its open windows; a timer at the end of the first open one closes it without new events.
-    """
-    width = int(pd.Timedelta(size).total_seconds() * 1000)
-    rows = events.withWatermark("ts", late).select("ts", "event_type")
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, total, squares, held = state.get if state.exists else (0, 0.0, 0.0, "{}")
-        mark, counts = state.getCurrentWatermarkMs(), {int(k): n for k, n in json.loads(held).items()}
-        if not state.hasTimedOut:
-            for frame in frames:
-                starts = frame["ts"].astype("datetime64[ms]").astype("int64") // width * width
-                for start, n in starts.value_counts().items():
-                    if start + width > mark:
-                        counts[int(start)] = counts.get(int(start), 0) + int(n)
+    def __init__(self, z: float, least: int):
+        self.z, self.least = z, least
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("closed", "seen long, total double, squares double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        seen, total, squares = self.state.get() if self.state.exists() else (0, 0.0, 0.0)
         out = []
-        for start in sorted(k for k in counts if k + width <= mark):
-            n = counts.pop(start)
-            if seen >= least:
+        closed = pd.concat([f[["start", "n"]] for f in rows]).sort_values("start")
+        for start, n in zip(closed["start"], closed["n"], strict=True):
+            if seen >= self.least:
                 mean = total / seen
                 deviation = max(0.0, squares / seen - mean * mean) ** 0.5
-                if n > mean + z * deviation:
-                    out.append((pd.Timestamp(start, unit="ms"), key[0], n, round(mean, 6), round(deviation, 6)))
-            seen, total, squares = seen + 1, total + n, squares + float(n) ** 2
-        state.update((seen, total, squares, json.dumps(counts)))
-        if counts:
-            state.setTimeoutTimestamp(max(min(counts) + width, mark + 1))
+                if n > mean + self.z * deviation:
+                    out.append((start, key[0], n, round(mean, 6), round(deviation, 6)))
+            seen, total, squares = seen + 1, total + float(n), squares + float(n) ** 2
+        self.state.update((seen, total, squares))
         yield pd.DataFrame(out, columns=["start", "event_type", "n", "mean", "deviation"])
 
-    return rows.groupBy("event_type").applyInPandasWithState(
-        judge, "start timestamp, event_type string, n long, mean double, deviation double", "seen long, total double, squares double, open string", "append", "EventTimeTimeout"
-    )
+
+def spike_stream(events: DataFrame, z: float = 2.0, size: str = "1 day", least: int = 3, late: str = "1 hour") -> DataFrame:
+    """The same over a stream, in append mode: a window is judged once the watermark has passed it.
+
+    Spark counts the events by window and type; only the counts of closed windows, one row for each,
+    reach the state function. It needs the RocksDB state store, which this sets for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    counts = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    closed = counts.select(F.col("window.start").alias("start"), "event_type", "n")
+    rows = T.StructType.fromDDL("start timestamp, event_type string, n long, mean double, deviation double")
+    return closed.groupBy("event_type").transformWithStateInPandas(_Judge(z, least), rows, "Append", "None")

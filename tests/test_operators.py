@@ -35,6 +35,13 @@ def test_switching_affinity_and_lapsed(spark):
     assert [tuple(r) for r in op.brand_lapsed(frame).collect()] == [("A", 8)]
 
 
+def test_price_medians_with_ties_and_nulls(spark):
+    prices = [("A", "T", 1.0), ("A", "T", 1.0), ("A", "T", 4.0), ("A", "T", 8.0), ("A", "T", None), ("B", "T", 2.0), ("B", "U", None)]
+    part = spark.createDataFrame([(i, *p) for i, p in enumerate(prices)], "p_partkey long, p_brand string, p_type string, p_retailprice double")
+    found = {(r.brand, r.type): (r.n_parts, r.median, r.type_median, r.position) for r in op.brand_price_position(part).collect()}
+    assert found == {("A", "T"): (5, 2.5, 2.0, 1.25), ("B", "T"): (1, 2.0, 2.0, 1.0), ("B", "U"): (1, None, None, None)}
+
+
 def test_empty_inputs(spark):
     empty = sales(spark, [(1, 1, "A", "R", 1, "2000-01-01", "1")]).limit(0)
     for job in (op.brand_share, op.brand_trend, op.brand_top_parts, op.brand_affinity, op.brand_switching, op.brand_lapsed, op.brand_concentration):
