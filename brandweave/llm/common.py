@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,36 +55,54 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once to the shared folder and read back: cuts the lineage."""
-    path = fresh_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+#: Files of a stored table that comes out of a shuffle, for each core.
+FILES = 4
+
+
+def stored(frame: DataFrame, name: str, path: str | None = None, shuffled: bool = False) -> DataFrame:
+    """The same rows, written once to the shared folder and read back: cuts the lineage.
+
+    A table that comes out of a shuffle is written as FILES files for each core at most, since every
+    file costs calls to the store.
+    """
+    spark = frame.sparkSession
+    path = path or fresh_path(spark, name)
+    (frame.coalesce(FILES * spark.sparkContext.defaultParallelism) if shuffled else frame).write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 class Scratch:
-    """Stored tables that go when the block ends, or with ``free``: what was made of them must be
-    stored by then."""
+    """Intermediate tables that go when the block ends, or with ``free``: what was made of them must
+    be stored by then."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, fresh_path(spark, "scratch")
+    def __init__(self, spark: SparkSession, inside: "Scratch | None" = None):
+        self.spark = spark
+        self.folder = f"{inside.folder}/{uuid.uuid4().hex}" if inside else fresh_path(spark, "scratch")
+        self.held: list[DataFrame] = []
         self.made = 0
 
     def __enter__(self) -> "Scratch":
         return self
 
+    def kept(self, frame: DataFrame) -> DataFrame:
+        """The same rows, on the executors' disks once they are made; lost ones are made again from
+        what they come from. For tables that are read several times, not for rounds of a loop."""
+        self.held.append(frame.persist(StorageLevel.DISK_ONLY))
+        return frame
+
     def stored(self, frame: DataFrame, name: str) -> DataFrame:
-        """As ``stored``, in this block's folder."""
+        """As ``stored`` of a table that comes out of a shuffle, in this block's folder."""
         self.made += 1
-        path = f"{self.folder}/{self.made}-{name}"
-        frame.write.parquet(path)
-        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+        return stored(frame, name, f"{self.folder}/{self.made}-{name}", shuffled=True)
 
     def __exit__(self, *_) -> None:
         self.free()
 
     def free(self) -> None:
-        """Deletes the tables."""
+        """Drops the tables."""
+        for frame in self.held:
+            frame.unpersist()
+        self.held.clear()
         # Hadoop's file systems, since whatever Spark can write to, they can delete from
         context = self.spark.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(self.folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import Scratch, stored
+from brandweave.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,24 +23,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionAll(least.select("u", F.col("least").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node of stored links (u, v) of longs; the label is the smallest node of
-    its component. Each round is stored in the shared folder and goes when the next one is; rounds end
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of every node of links (u, v) of longs; the label is the smallest node of
+    its component. Each round is stored in the shared folder and goes when the next one is, the
+    last one with ``scratch``; rounds end
     when the links no longer change, after a number that grows with the logarithm of the component
     sizes. Links of a node to itself and repeated links do no harm; without links the result is empty.
     A star's centre may hold most links: the joins on it are inner joins, which Spark splits."""
     edges = links.where("u <> v").select("u", "v").distinct()
     before = held = None
     while True:
-        scratch = Scratch(links.sparkSession)
-        edges = scratch.stored(_small_star(_large_star(edges)), "stars")
+        turn = Scratch(links.sparkSession, scratch)
+        edges = turn.stored(_small_star(_large_star(edges)), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if held:
             held.free()
-        held = scratch
+        held = turn
         if now == before:
             break
         before = now
-    labels = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")
-    held.free()
-    return labels
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -48,7 +48,7 @@ COMMON_CLASS = 12
 FILTER_BITS = 23
 #: Tables of counts that are added up at a time.
 MERGED = 64
-#: Texts are picked by a broadcast table of their hashes if it has at most this many rows.
+#: Texts are picked by a broadcast table of their hashes if it can't have more rows than this.
 PICKED = 500_000
 #: Nodes of a bucket that are joined as one part.
 PART_NODES = 2048
@@ -124,7 +124,7 @@ def _classes(sketch: DataFrame, scratch: Scratch) -> np.ndarray:
         tables = tables.withColumn("part", F.col("part") % parts).groupBy("row", "part").applyInArrow(_added, "row int, part int, cells binary, counts binary, wide boolean")
         if parts == 1:
             break
-        tables = scratch.stored(tables, "counts")
+        tables = scratch.kept(tables)
 
     def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,14 +257,14 @@ class Join:
         self.texts = small_batches(documents).select(text.alias("text"), F.xxhash64(text).alias("text_hash"))
         self.width, self.threshold, self.scratch = width, threshold, scratch
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-        sketch = scratch.stored(rows.mapInArrow(_sketch(width), SKETCHED).withColumn("part", F.spark_partition_id()), "sketch")
+        sketch = scratch.kept(rows.mapInArrow(_sketch(width), SKETCHED).withColumn("part", F.spark_partition_id()))
         self.members = sketch.where("row is null").select("doc_id", "n", "fp", "text_hash")
         self.classes = _classes(sketch, scratch)
         self.common = max(COMMON_CLASS, int(np.median(self.classes)) + 3)
 
         prefixes = self.texts.mapInArrow(_prefixes(width, threshold, self.classes), NODES)
         one = F.min_by(F.struct("n", "prefix", "others", "text_hash"), "text_hash").alias("one")
-        self.nodes = scratch.stored(prefixes.groupBy("fp").agg(one).select("fp", "one.*"), "nodes")
+        self.nodes = scratch.kept(prefixes.groupBy("fp").agg(one).select("fp", "one.*"))
 
     def buckets(self) -> DataFrame:
         """(token, fp, n, pos, first_fp, first_n, first_pos) of all buckets of two nodes or more."""
@@ -304,7 +304,7 @@ class Join:
         names = ("n", "prefix", "others")
         side = lambda end: nodes.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{end}" for end in "ab" for c in names))
-        return self.scratch.stored(both.mapInArrow(allow, "a long, b long"), "narrowed")
+        return self.scratch.kept(both.mapInArrow(allow, "a long, b long"))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that reach the threshold."""
@@ -317,23 +317,21 @@ class Join:
 
         pairs = self.narrowed(pairs)
         bits = _bit_set(_ends(pairs))
-        # one text of each node to be compared; while they are few, Spark picks them before Python sees any
-        picked = self.scratch.stored(self._asked(bits).select("text_hash"), "picked")
-        texts = self.texts.join(F.broadcast(picked), "text_hash", "left_semi") if picked.count() <= PICKED else self.texts
-        with Scratch(pairs.sparkSession) as scratch:
-            sets = texts.select("text").mapInArrow(_sets(self.width, self.classes, bits), "fp long, tokens binary")
-            sets = scratch.stored(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
-            left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
-            joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
-            return self.scratch.stored(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+        texts = self.texts
+        if 2 * pairs.count() <= PICKED:
+            # one text of each node to be compared, which Spark picks before Python sees any
+            picked = self._asked(bits).join(F.broadcast(_ends(pairs).distinct()), "fp", "left_semi").select("text_hash")
+            texts = texts.join(F.broadcast(picked), "text_hash", "left_semi")
+        sets = texts.select("text").mapInArrow(_sets(self.width, self.classes, bits), "fp long, tokens binary")
+        sets = self.scratch.kept(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")))
+        left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
+        joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
+        return self.scratch.kept(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
     def links(self) -> DataFrame:
         """Links (u, v) of nodes, enough of them to connect every component."""
-        with Scratch(self.texts.sparkSession) as scratch:
-            return self._links(scratch)
-
-    def _links(self, scratch: Scratch) -> DataFrame:
-        buckets = scratch.stored(self.buckets(), "buckets")
+        scratch = self.scratch
+        buckets = scratch.kept(self.buckets())
         first = buckets.where(F.col("fp") != F.col("first_fp")).withColumn("passes", _passes(self.threshold, "", "first_"))
         # each node with the leader that it shares most with, if that may be enough: the leader need
         # not lead all buckets that the two share, so what is seen counts three times. Whatever is
@@ -343,12 +341,12 @@ class Join:
         enough = (3 * F.count(F.lit(1)) + F.greatest(behind("n"), behind("first_n"))) * (s + t) >= (F.col("n") + F.col("first_n")) * t
         shared = first.groupBy("fp", "first_fp", "n", "first_n").agg(F.count(F.lit(1)).alias("tokens"), enough.alias("enough"), F.max("passes").alias("passes")).where("enough and passes")
         best = shared.groupBy("fp").agg(F.max(F.struct("tokens", "first_fp")).alias("best"))
-        tested = scratch.stored(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")), "stars")
+        tested = scratch.kept(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")))
         stars = self.compare(tested)
-        known = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        known = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
         placed = buckets.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        placed = scratch.stored(placed.select("token", "fp", "n", "pos", "label", band(F.col("n"), self.threshold).alias("band")), "placed")
+        placed = scratch.kept(placed.select("token", "fp", "n", "pos", "label", band(F.col("n"), self.threshold).alias("band")))
         parts = F.ceil(F.count(F.lit(1)) / F.lit(PART_NODES)).cast("int").alias("parts")
         mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts).where("low < high").select("token", "parts")
         left = placed.join(mixed, "token")
@@ -362,8 +360,8 @@ class Join:
         pairs = shorter.join(longer, ["token", "band", "part"]).where(before & (F.col("a_label") != F.col("b_label")) & _passes(self.threshold, "a_", "b_"))
         pairs = pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self.compare(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
-        return self.scratch.stored(stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
+        rest = self.compare(scratch.kept(pairs.join(done, ["a", "b"], "left_anti")))
+        return stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def _join(documents: DataFrame, width: int, threshold: tuple[int, int], scratch: Scratch) -> Join:
@@ -375,7 +373,7 @@ def _join(documents: DataFrame, width: int, threshold: tuple[int, int], scratch:
 
 def _nodes(join: Join) -> DataFrame:
     """(fp, least, label) of every node: its smallest doc_id, and its component if it has links."""
-    labels = components(join.links()).withColumnRenamed("node", "fp")
+    labels = components(join.links(), join.scratch).withColumnRenamed("node", "fp")
     return join.members.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels, "fp", "left")
 
 
@@ -394,7 +392,7 @@ def near_copies(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
         ids = nodes.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
         nodes = nodes.join(ids, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
         full = join.members.where("n > 0").join(nodes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return stored(full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "near_copies")
+        return stored(full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "near_copies", shuffled=True)
 
 
 def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -412,7 +410,7 @@ def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
         texts = join.members.where("n > 0").groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
         one = F.min(F.struct("text_hash", "n_rows")).alias("one")
         texts = texts.join(chosen.withColumnRenamed("fp", "f"), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("least")))
-        chosen = stored(texts.groupBy("fp", "doc_id").agg(one).select(F.col("doc_id").alias("k_doc"), F.col("one.text_hash").alias("k_text"), F.col("one.n_rows").alias("k_rows")), "chosen")
+        chosen = stored(texts.groupBy("fp", "doc_id").agg(one).select(F.col("doc_id").alias("k_doc"), F.col("one.text_hash").alias("k_text"), F.col("one.n_rows").alias("k_rows")), "chosen", shuffled=True)
     rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("r_doc"), F.xxhash64(utf8()).alias("r_text"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("words"))
     kept = lambda of: rows.where("words").join(chosen.where(of), F.col("r_doc").eqNullSafe(F.col("k_doc")) & (F.col("r_text") == F.col("k_text")))
     repeated = kept("k_rows > 1").groupBy("k_doc", "k_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

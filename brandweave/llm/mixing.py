@@ -39,7 +39,7 @@ def n_words(text: str = "text") -> Column:
 def ranked_sources(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``rank``, from 1 by code point with null last, without one task seeing all sources."""
     order = F.col("source").asc_nulls_last()
-    dealt = scratch.stored(sources.repartitionByRange(RANK_PARTITIONS, order).withColumn("part", F.spark_partition_id()), "ranked")
+    dealt = scratch.kept(sources.repartitionByRange(RANK_PARTITIONS, order).withColumn("part", F.spark_partition_id()))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
     within = F.row_number().over(W.partitionBy("part").orderBy(order))
@@ -137,13 +137,13 @@ def plan(documents: DataFrame, weight: Column | None = None, schedule: Column |
     """
     weight = ((F.col("rank") - 1) % 3 + 1) if weight is None else weight
     with Scratch(documents.sparkSession) as scratch:
-        return stored(_plan(documents, weight, schedule, max_epochs, scratch), "plan")
+        return stored(_plan(documents, weight, schedule, max_epochs, scratch), "plan", shuffled=True)
 
 
 def _plan(documents: DataFrame, weight: Column, schedule: Column | None, max_epochs: int, scratch: Scratch) -> DataFrame:
     sized = documents.select(*_key(), n_words().alias("size"), _order_key().alias("order_key")).groupBy("doc_id", "source", "text_hash", "no_text")
     sized = sized.agg(F.count(F.lit(1)).alias("n_rows"), F.max("size").alias("size"), F.max("order_key").alias("order_key"))
-    sized = scratch.stored(sized.withColumn("group", _group()), "sized")
+    sized = scratch.kept(sized.withColumn("group", _group()))
 
     words = F.col("size") * F.col("n_rows")
     sources = sized.groupBy("group", "source").agg(F.sum(words).alias("source_size"), F.sum("n_rows").alias("source_rows"))
@@ -168,7 +168,7 @@ def _plan(documents: DataFrame, weight: Column, schedule: Column | None, max_epo
     inside = W.partitionBy(*keys).orderBy("order_key", "doc_id", "text_hash", "no_text").rowsBetween(W.unboundedPreceding, -1)
     placed = cells.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(by_fine, keys)
     placed = placed.withColumn("before", F.col("inside") + F.col("fine_before") + F.col("coarse_before"))
-    placed = scratch.stored(placed.drop("inside", "fine_before", "coarse_before", "coarse", "fine", "mean"), "placed")
+    placed = scratch.kept(placed.drop("inside", "fine_before", "coarse_before", "coarse", "fine", "mean"))
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     sources = sources.withColumn("epochs", whole).withColumn("rest", F.greatest(F.col("target") - F.col("epochs") * F.col("source_size"), F.lit(0.0)))

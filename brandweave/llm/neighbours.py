@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import small_batches, stored, table
+from brandweave.llm.common import Scratch, small_batches, stored, table
 
 #: The bound of the sample that codebooks are fitted to: rows in the order of a hash of vec_id.
 SAMPLE = 20_000
@@ -145,8 +145,9 @@ def pack_codes(codes: np.ndarray) -> np.ndarray:
     return codes[:, ::2] | codes[:, 1::2] << 4
 
 
-def build(vectors: DataFrame, sample_rows: int = SAMPLE, threshold: float = 0.2) -> tuple[DataFrame, Codebooks | None]:
-    """The stored index of all usable rows and its codebooks; None where there are none.
+def build(vectors: DataFrame, sample_rows: int = SAMPLE, threshold: float = 0.2, scratch: Scratch | None = None) -> tuple[DataFrame, Codebooks | None]:
+    """The stored index of all usable rows and its codebooks; None where there are none. With a
+    ``scratch`` the index goes when that does.
 
     All vectors have the dimension that most rows have, of equals the smaller; others take no part.
     """
@@ -168,7 +169,8 @@ def build(vectors: DataFrame, sample_rows: int = SAMPLE, threshold: float = 0.2)
                 codes = pack_codes(assign(_split(x / norms[:, None]), books.words, books.parallel))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norms), pa.array([c.tobytes() for c in codes], type=pa.binary())], names=["vec_id", "vector", "norm", "codes"])
 
-    return stored(rows.mapInArrow(encode, INDEX), "index"), books
+    index = rows.mapInArrow(encode, INDEX)
+    return (scratch.kept(index) if scratch else stored(index, "index")), books
 
 
 def tables(queries: np.ndarray, books: Codebooks) -> np.ndarray:
@@ -264,5 +266,6 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose vec_id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
-    index, books = build(vectors)
-    return search(index, books, usable(vectors).where(F.col("vec_id") % 20 == 0))
+    with Scratch(spark) as scratch:
+        index, books = build(vectors, scratch=scratch)
+        return stored(search(index, books, usable(vectors).where(F.col("vec_id") % 20 == 0)), "neighbours", shuffled=True)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import small_batches, stored, table
+from brandweave.llm.common import Scratch, small_batches, stored, table
 
 #: The token sequence of one white-space separated chunk is remembered up to this many chunks, until
 #: the task ends.
@@ -242,7 +242,7 @@ def _in_order(pieces: DataFrame, group_pieces: int) -> tuple[DataFrame, int]:
 
 
 def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] | None = None, rule: str = "residual", group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces.
+    """Adds sequence_id and offset to stored or kept pieces.
 
     ``max_documents`` and ``max_cost`` default to values that any bin of ``max_tokens`` meets, and
     ``weights`` to such that a token left over outweighs documents and cost, which part the bins that
@@ -290,7 +290,8 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, max_token
     """Tokenizes, cuts and packs documents: one row for each piece. ``ordered`` lets sequences follow
     the order of the files and rows that documents are read from."""
     pieces = tokenized_pieces(documents, tokenizer or default_tokenizer(), max_tokens, end_id, ordered)
-    return pack(stored(pieces, "pieces"), max_tokens, **limits)
+    with Scratch(documents.sparkSession) as scratch:
+        return stored(pack(scratch.kept(pieces), max_tokens, **limits), "packed")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_lab
     every ratio is 0 and every document counts as good.
     """
     with Scratch(documents.sparkSession) as scratch:
-        return _fit(documents, scratch.stored(labelled_sample(labels, max_labels), "labels"), buckets, smoothing)
+        return _fit(documents, scratch.kept(labelled_sample(labels, max_labels)), buckets, smoothing)
 
 
 def _fit(documents: DataFrame, sample: DataFrame, buckets: int, smoothing: float) -> Weights:
@@ -133,7 +133,7 @@ def gumbel(seed: int = SEED) -> Column:
 
 
 def kth_largest(keys: DataFrame, k: int, buckets: int = 4096, few: int = 10_000) -> float:
-    """The k-th largest of a stored column ``key``, by narrowing histograms; 1 <= k <= rows."""
+    """The k-th largest of a stored or kept column ``key``, by narrowing histograms; 1 <= k <= rows."""
     low, high = keys.agg(F.min("key"), F.max("key")).first()
     inside, left = keys, k
     while low < high:
@@ -181,7 +181,7 @@ def keep(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     """The documents that the selection keeps, with their own columns."""
     weights = fit(documents, labels, **options)
     with Scratch(documents.sparkSession) as scratch:
-        least = _least(scratch.stored(_keys(documents, weights, seed), "scored"), weights, k)
+        least = _least(scratch.kept(_keys(documents, weights, seed)), weights, k)
     rows = small_batches(documents).select(F.struct("*").alias("row"), gumbel(seed).alias("noise"))
     return _scored(rows, weights.ratio).where(F.col("key") >= F.lit(least)).select("row.*")
 

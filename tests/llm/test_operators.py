@@ -737,7 +737,7 @@ def test_components_of_random_links(spark):
     for u, v in links:
         a, b = sorted((find(u), find(v)))
         parent[b] = a
-    found = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    found = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "u long, v long"), common.Scratch(spark)).collect()}
     assert found == {i: find(i) for u, v in links if u != v for i in (u, v)}
 
 
