@@ -2,14 +2,17 @@
 
 Counting: tasks combine what they read into sorted runs of hashes and send one packed block to each
 shard; a shard is a range of context hashes and merges its blocks into sorted arrays. A context that
-would fill more than a quarter of a shard is split over several by its next word. The number of
-shards follows the number of tokens, so a merge holds a bounded number of them.
+would fill more than a quarter of a shard is split over several by its next word. The numbers of
+shards of bigrams and of words follow the number of tokens, so a merge holds a bounded number of
+them. What passes through the driver is a list of at most HOT_WORDS words, whatever the corpus, and the
+names of the files, one for each shard; they are written beside the arrays for the workers.
 
 Stored form, in the shared folder: bigram shards (64-bit keys in order, counts of one byte and the
 few larger ones beside them) and word shards (hash, count, number of different words before it,
 and as a context its numbers of words that follow once, twice and more often). Scoring workers map
-these files into memory and search them for each batch's sorted keys; a store that is not a local
-file system is first copied to the worker's disk and removed at its end.
+the files that a batch's sorted keys fall into and search them there; what is mapped is shared by the
+machine's workers and read page by page. From a store that can't be mapped the arrays of a shard are
+read when a batch asks for them and not kept; nothing is copied to local disks.
 
 Probabilities: p(w|u) = max(c(u,w) - D, 0) / c(u) + (D1 n1(u) + D2 n2(u) + D3 n3(u)) / c(u) p(w), where
 p(w) is the same rule over continuation counts, interpolated with 1 / (V + 1); a word that follows no
@@ -18,9 +21,6 @@ known context has p(w). Words equal in their 64-bit hash count as the same.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,8 +36,16 @@ from brandweave.llm.common import fresh_path, hash_words, mix64, slices, small_b
 #: Tokens that a task combines at a time, and those that a bigram shard is planned for.
 COMBINED = 3_000_000
 SHARD_TOKENS = 2_000_000
+#: Bytes of text that a word shard is planned for, about those of as many tokens.
+SHARD_BYTES = 12_000_000
+#: At most so many words are split over shards.
+HOT_WORDS = 1_000_000
+#: Arrays that a worker keeps mapped.
+MAPS = 8192
 END = np.uint64(0x5EED_0000_0000_0001)
 START = np.uint64(0x5EED_0000_0000_0002)
+#: Bytes of a file's name in a list of files.
+NAME = 64
 _LOW = np.uint64((1 << 40) - 1)
 _BLOCKS = "shard int, kind string, a binary, b binary, c binary, d binary"
 _U64, _U32 = np.dtype("<u8"), np.dtype("<u4")
@@ -263,12 +271,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """What the driver keeps of a stored model: file names, ranges and a few totals."""
+    """What the driver keeps of a stored model: a few totals, and the names of its lists of files."""
 
     folder: str
     seats: Seats
-    pairs: list[tuple[int, str, int]]
-    words: list[tuple[int, str, int]]
+    pairs: str
+    words: str
     tokens: int
     vocabulary: int
     documents: int
@@ -282,8 +290,9 @@ def train(documents: DataFrame, folder: str | None = None) -> Model:
     """Counts all given documents (null text: empty, which is an end token) into a stored model."""
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "model")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = small_batches(documents).select(utf8().alias("text"))
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     texts.mapInArrow(_count_words(shards), _BLOCKS).groupBy("shard").applyInArrow(_merge_words, _BLOCKS).write.parquet(f"{folder}/words")
     words = spark.read.schema(_BLOCKS).parquet(f"{folder}/words")
 
@@ -304,8 +313,8 @@ def train(documents: DataFrame, folder: str | None = None) -> Model:
 
     tokens, different, n_documents = (x or 0 for x in totals(0).agg(F.sum("tokens"), F.sum("different"), F.sum("documents")).first())
     pair_shards = max(shards, -(-tokens // SHARD_TOKENS))
-    # At most four times as many words as shards can pass this bound.
-    least = max(1000, tokens // (4 * pair_shards))
+    # At most four times as many words as shards can pass this bound, and never more than HOT_WORDS.
+    least = max(1000, tokens // min(4 * pair_shards, HOT_WORDS))
     hot = {int(r.word) + (1 << 63): int(r.n) for r in totals(least).where("word is not null").collect()}
     if n_documents >= least:
         hot[int(START)] = n_documents
@@ -317,14 +326,20 @@ def train(documents: DataFrame, folder: str | None = None) -> Model:
     merged = words.unionByName(second.where("kind <> 'file'")).groupBy("shard").applyInArrow(_finish_words(f"{folder}/arrays"), _BLOCKS)
     merged.write.parquet(f"{folder}/numbers")
     files = lambda frame: frame.where("kind = 'file'").collect()
-    listed = lambda rows: sorted((int(np.frombuffer(r.b, dtype=_U64)[0]), r.a.decode(), int(np.frombuffer(r.b, dtype=_U64)[1])) for r in rows)
+    listed = lambda rows, name: _listed(f"{folder}/arrays", name, sorted((int(np.frombuffer(r.b, dtype=_U64)[0]), r.a) for r in rows))
     pair_files, word_files = files(second), files(spark.read.schema(_BLOCKS).parquet(f"{folder}/numbers"))
     total = lambda rows, n: sum((np.frombuffer(r.c, dtype=_U64).astype(np.int64) for r in rows), np.zeros(n, dtype=np.int64)).tolist()
     n1, n2, n3, n4 = total(pair_files, 4)
     m1, m2, m3, m4, m_more, before = total(word_files, 6)
     d = discounts(m1, m2, m3, m4)
     rest = (d[0] * m1 + d[1] * m2 + d[2] * m_more) / before if before else 1.0
-    return Model(f"{folder}/arrays", seats, listed(pair_files), listed(word_files), tokens, different, n_documents, discounts(n1, n2, n3, n4), d, before, rest)
+    return Model(f"{folder}/arrays", seats, listed(pair_files, "pairs"), listed(word_files, "words"), tokens, different, n_documents, discounts(n1, n2, n3, n4), d, before, rest)
+
+
+def _listed(folder: str, name: str, files: list[tuple[int, bytes]]) -> str:
+    """Writes the files' first keys, ascending, and names; gives the list's own name."""
+    names = np.array([n for _, n in files], dtype=f"S{NAME}")
+    return _write(folder, name, {"first": np.array([k for k, _ in files], dtype=_U64), "names": names.view(np.uint8)})
 
 
 class Mapped:
@@ -335,10 +350,8 @@ class Mapped:
     def __init__(self, model: Model):
         self.model, self.arrays = model, {}
         self.store, self.path = pafs.FileSystem.from_uri(model.folder)
-        self.local = self.path
-        if not isinstance(self.store, pafs.LocalFileSystem):
-            self.local = tempfile.mkdtemp(prefix="model-")
-            atexit.register(shutil.rmtree, self.local, True)
+        self.mapped = isinstance(self.store, pafs.LocalFileSystem)
+        self.lists = {}
 
     @classmethod
     def of(cls, model: Model) -> "Mapped":
@@ -348,21 +361,28 @@ class Mapped:
         return cls._open[model.folder]
 
     def array(self, name: str, kind: np.dtype) -> np.ndarray:
+        if not self.mapped:
+            with self.store.open_input_file(f"{self.path}/{name}") as file:
+                return np.frombuffer(file.read(), dtype=kind)
         if name not in self.arrays:
-            if self.local != self.path:
-                pafs.copy_files(f"{self.path}/{name}", f"{self.local}/{name}", source_filesystem=self.store, destination_filesystem=pafs.LocalFileSystem())
+            if len(self.arrays) >= MAPS:
+                self.arrays.clear()
             try:
-                self.arrays[name] = np.memmap(f"{self.local}/{name}", dtype=kind, mode="r")
+                self.arrays[name] = np.memmap(f"{self.path}/{name}", dtype=kind, mode="r")
             except ValueError:  # an empty file can't be mapped
                 self.arrays[name] = np.empty(0, dtype=kind)
         return self.arrays[name]
 
-    def _parts(self, files: list[tuple[int, str, int]], keys: np.ndarray) -> Iterator[tuple[str, int, int]]:
-        """Which stretch of ascending keys each file may hold."""
-        for low, name, high in files:
-            a, b = np.searchsorted(keys, np.array([low], dtype=np.uint64))[0], np.searchsorted(keys, np.array([high], dtype=np.uint64), side="right")[0]
-            if a < b:
-                yield name, a, b
+    def _parts(self, files: str, keys: np.ndarray) -> Iterator[tuple[str, int, int]]:
+        """The files that ascending keys fall into, each with its stretch of them."""
+        if files not in self.lists:
+            self.lists[files] = self.array(f"{files}.first", _U64), self.array(f"{files}.names", np.dtype(f"S{NAME}"))
+        first, names = self.lists[files]
+        at = np.searchsorted(first, keys, side="right") - 1
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
+        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            if at[a] >= 0:
+                yield names[at[a]].decode(), a, b
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """Counts of ascending bigram keys."""
@@ -424,7 +444,7 @@ def score(documents: DataFrame, model: Model, held_out: Column | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Mapped.of(model)
-        for part in slices(batches):
+        for part in slices(batches, limit=1 << 20 if arrays.mapped else 8 << 20):
             tokens, before, n = _tokens(part.column(1).to_pylist())
             logs, counts = arrays.log10(tokens, before)
             first = np.cumsum(n) - n
