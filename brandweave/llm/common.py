@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,16 @@ def small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def tidy(run):
+    """A function over Arrow batches that gives back what Arrow holds when it ends: workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
@@ -86,7 +97,8 @@ class Scratch:
 
     def kept(self, frame: DataFrame) -> DataFrame:
         """The same rows, on the executors' disks once they are made; lost ones are made again from
-        what they come from. For tables that are read several times, not for rounds of a loop."""
+        what they come from. For tables that are read several times and come of a short plan, since every
+        plan that reads them holds theirs."""
         self.held.append(frame.persist(StorageLevel.DISK_ONLY))
         return frame
 

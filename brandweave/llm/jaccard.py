@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import Scratch, hash_words, mix64, shingles, slices, small_batches, stored, table, utf8
+from brandweave.llm.common import Scratch, hash_words, mix64, shingles, slices, small_batches, stored, table, tidy, utf8
 from brandweave.llm.graph import components
 
 WIDTH = 5
@@ -124,7 +124,7 @@ def _classes(sketch: DataFrame, scratch: Scratch) -> np.ndarray:
         tables = tables.withColumn("part", F.col("part") % parts).groupBy("row", "part").applyInArrow(_added, "row int, part int, cells binary, counts binary, wide boolean")
         if parts == 1:
             break
-        tables = scratch.kept(tables)
+        tables = scratch.stored(tables, "counts")
 
     def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,12 +257,12 @@ class Join:
         self.texts = small_batches(documents).select(text.alias("text"), F.xxhash64(text).alias("text_hash"))
         self.width, self.threshold, self.scratch = width, threshold, scratch
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-        sketch = scratch.kept(rows.mapInArrow(_sketch(width), SKETCHED).withColumn("part", F.spark_partition_id()))
+        sketch = scratch.kept(rows.mapInArrow(tidy(_sketch(width)), SKETCHED).withColumn("part", F.spark_partition_id()))
         self.members = sketch.where("row is null").select("doc_id", "n", "fp", "text_hash")
         self.classes = _classes(sketch, scratch)
         self.common = max(COMMON_CLASS, int(np.median(self.classes)) + 3)
 
-        prefixes = self.texts.mapInArrow(_prefixes(width, threshold, self.classes), NODES)
+        prefixes = self.texts.mapInArrow(tidy(_prefixes(width, threshold, self.classes)), NODES)
         one = F.min_by(F.struct("n", "prefix", "others", "text_hash"), "text_hash").alias("one")
         self.nodes = scratch.kept(prefixes.groupBy("fp").agg(one).select("fp", "one.*"))
 
@@ -288,7 +288,7 @@ class Join:
                 at = batch.column(0).to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
                 yield batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)))
 
-        return self.nodes.mapInArrow(run, self.nodes.schema)
+        return self.nodes.mapInArrow(tidy(run), self.nodes.schema)
 
     def narrowed(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) whose prefixes under all orders allow the threshold."""
@@ -304,7 +304,7 @@ class Join:
         names = ("n", "prefix", "others")
         side = lambda end: nodes.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{end}" for end in "ab" for c in names))
-        return self.scratch.kept(both.mapInArrow(allow, "a long, b long"))
+        return self.scratch.stored(both.mapInArrow(tidy(allow), "a long, b long"), "narrowed")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that reach the threshold."""
@@ -322,16 +322,16 @@ class Join:
             # one text of each node to be compared, which Spark picks before Python sees any
             picked = self._asked(bits).join(F.broadcast(_ends(pairs).distinct()), "fp", "left_semi").select("text_hash")
             texts = texts.join(F.broadcast(picked), "text_hash", "left_semi")
-        sets = texts.select("text").mapInArrow(_sets(self.width, self.classes, bits), "fp long, tokens binary")
-        sets = self.scratch.kept(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")))
+        sets = texts.select("text").mapInArrow(tidy(_sets(self.width, self.classes, bits)), "fp long, tokens binary")
+        sets = self.scratch.stored(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
         left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
         joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
-        return self.scratch.kept(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+        return self.scratch.stored(joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long"), "links")
 
     def links(self) -> DataFrame:
         """Links (u, v) of nodes, enough of them to connect every component."""
         scratch = self.scratch
-        buckets = scratch.kept(self.buckets())
+        buckets = scratch.stored(self.buckets(), "buckets")
         first = buckets.where(F.col("fp") != F.col("first_fp")).withColumn("passes", _passes(self.threshold, "", "first_"))
         # each node with the leader that it shares most with, if that may be enough: the leader need
         # not lead all buckets that the two share, so what is seen counts three times. Whatever is
@@ -341,12 +341,12 @@ class Join:
         enough = (3 * F.count(F.lit(1)) + F.greatest(behind("n"), behind("first_n"))) * (s + t) >= (F.col("n") + F.col("first_n")) * t
         shared = first.groupBy("fp", "first_fp", "n", "first_n").agg(F.count(F.lit(1)).alias("tokens"), enough.alias("enough"), F.max("passes").alias("passes")).where("enough and passes")
         best = shared.groupBy("fp").agg(F.max(F.struct("tokens", "first_fp")).alias("best"))
-        tested = scratch.kept(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")))
+        tested = scratch.stored(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")), "tested")
         stars = self.compare(tested)
         known = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
         placed = buckets.join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        placed = scratch.kept(placed.select("token", "fp", "n", "pos", "label", band(F.col("n"), self.threshold).alias("band")))
+        placed = scratch.stored(placed.select("token", "fp", "n", "pos", "label", band(F.col("n"), self.threshold).alias("band")), "placed")
         parts = F.ceil(F.count(F.lit(1)) / F.lit(PART_NODES)).cast("int").alias("parts")
         mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts).where("low < high").select("token", "parts")
         left = placed.join(mixed, "token")
@@ -360,7 +360,7 @@ class Join:
         pairs = shorter.join(longer, ["token", "band", "part"]).where(before & (F.col("a_label") != F.col("b_label")) & _passes(self.threshold, "a_", "b_"))
         pairs = pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self.compare(scratch.kept(pairs.join(done, ["a", "b"], "left_anti")))
+        rest = self.compare(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
         return stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 

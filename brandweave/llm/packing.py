@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandweave.llm.common import Scratch, small_batches, stored, table
+from brandweave.llm.common import Scratch, small_batches, stored, table, tidy
 
 #: The token sequence of one white-space separated chunk is remembered up to this many chunks, until
 #: the task ends.
@@ -168,7 +168,7 @@ def tokenized_pieces(documents: DataFrame, tokenizer: str, max_tokens: int = 102
         encoder.forget()  # workers live on, for other stages
 
     read = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")] if ordered else []
-    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *read).mapInArrow(run, PIECES + ORDER if ordered else PIECES)
+    return small_batches(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *read).mapInArrow(tidy(run), PIECES + ORDER if ordered else PIECES)
 
 
 def best_fit(lengths: np.ndarray, max_tokens: int, max_documents: int, max_cost: int, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +283,7 @@ def pack(pieces: DataFrame, max_tokens: int = 1024, max_documents: int | None =
             own = own.select(PIECE_NAMES).append_column("sequence_id", pa.array(bins + (int(g) << 32))).append_column("offset", pa.array(places))
             yield from own.to_batches()
 
-    return pieces.repartition(groups, "group").mapInArrow(run, PACKED)
+    return pieces.repartition(groups, "group").mapInArrow(tidy(run), PACKED)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str | None = None, max_tokens: int = 1024, end_id: int | None = 2, ordered: bool = False, **limits) -> DataFrame:

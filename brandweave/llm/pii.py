@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import small_batches, table
+from brandweave.llm.common import small_batches, table, tidy
 
 #: For tests and the registered query; give your own key in production.
 DEMO_KEY = b"brandweave demonstration key"
@@ -409,7 +409,7 @@ def pseudonymise(documents: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([made, found], names=["row", "found"])
         _pseudonym.cache_clear()  # workers live on, for other stages
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, FOUND]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema, FOUND]))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

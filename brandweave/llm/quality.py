@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brandweave.llm.common import SAME, SPACES, Scratch, hash_words, mix64, slices, small_batches, stored, table, utf8
+from brandweave.llm.common import SAME, SPACES, Scratch, hash_words, mix64, slices, small_batches, stored, table, tidy, utf8
 
 BUCKETS = 1 << 14
 #: The bound of the labelled sample: rows of labels in the order of a hash of their doc_id.
@@ -86,7 +86,7 @@ def _fit(documents: DataFrame, sample: DataFrame, buckets: int, smoothing: float
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(good[seen])], names=["bucket", "raw", "good"])
 
-    counted = rows.select("text", (~F.col("tuning") & (F.col("quality") > 0)).alias("target")).mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    counted = rows.select("text", (~F.col("tuning") & (F.col("quality") > 0)).alias("target")).mapInArrow(tidy(count), "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.zeros(buckets), np.zeros(buckets)
     raw[counted["bucket"].to_numpy()], good[counted["bucket"].to_numpy()] = counted["raw"].to_numpy(), counted["good"].to_numpy()
     if not good.any():
@@ -123,7 +123,7 @@ def _scored(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
                 key = weight + part.column(1).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weight), pa.array(key)], names=["row", "noise", "log_weight", "key"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema, T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())]))
 
 
 def gumbel(seed: int = SEED) -> Column:
