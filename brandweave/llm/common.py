@@ -249,7 +249,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.
             rolled += words[k : k + len(rolled)] * multiply[k]
         long = counts >= width
         firsts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        where = np.arange(int(n[long].sum())) - np.repeat(np.concatenate([[0], np.cumsum(n[long])[:-1]]), n[long])
+        where = np.arange(int(n[long].sum())) - np.repeat(np.cumsum(n[long]) - n[long], n[long])
         at = np.repeat(starts[long], n[long]) + where
         out[np.repeat(firsts[long], n[long]) + where] = mix64(rolled[at] + np.uint64(width))
         for i in np.flatnonzero((counts > 0) & ~long):

@@ -214,7 +214,8 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     name = "position"
     while name in documents.columns:
         name = "_" + name
-    return keyed.join(planned, same).select("row.*", F.explode("positions").alias(name)).orderBy(name)
+    placed = keyed.join(planned, same).select("row", F.explode("positions").alias("position")).orderBy("position")
+    return placed.select("row.*", F.col("position").alias(name))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def _scored(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
             texts = batch.column(0).field("text").cast(pa.binary()).fill_null(b"")
             for part in slices([pa.RecordBatch.from_arrays([*batch.columns, texts], names=["row", "noise", "bytes"])], 2):
                 runs, text = hashed_runs(part.column(2).to_pylist(), len(ratio))
-                weight = np.bincount(text, weights=ratio[runs], minlength=part.num_rows)
+                weight = np.bincount(text, weights=ratio[runs], minlength=part.num_rows).astype(float)  # of no runs, it counts whole numbers
                 key = weight + part.column(1).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(weight), pa.array(key)], names=["row", "noise", "log_weight", "key"])
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brandweave.llm import html, jaccard, language_model, licenses, media, mixing, neighbours, packing, pii, quality
+from brandweave.llm import common, html, jaccard, language_model, licenses, media, mixing, neighbours, packing, pii, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key double, position int, fp long, found string"
 LONG = " ".join(f"w{i % 997}" for i in range(200_000)) + " card 4078918989542222 " + "x" * 3_000_000
@@ -128,3 +128,45 @@ def test_vectors(spark):
     assert books.dim == 2 and [(r.query_id, r.vec_id, r.score) for r in found] == [(20, 9, 4.0), (20, 8, -0.5), (20, 0, -1.0)]
     index, books = neighbours.build(vectors.limit(0))
     assert neighbours.search(index, books, neighbours.usable(vectors)).count() == 0
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [None, "", " "], ["a b", None], ["a"]])
+def test_partitions_of_blank_and_short_texts(spark, labels, texts):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    n = len(texts)
+    assert media.media_features(docs).count() == pii.pseudonymise(docs).count() == licenses.scan(docs).count() == n
+    assert quality.select(docs, quality.fit(docs, labels)).count() == quality.keep(docs, labels).count() == n
+    assert mixing.plan(docs).count() == n and mixing.mix(docs).count() <= 3 * n
+    assert language_model.score(docs, language_model.train(docs)).count() == n
+    assert packing.pack_documents(docs).count() == n
+    assert jaccard.near_copies(docs).count() == jaccard.one_of_each(docs).count() == n
+
+
+EXTRA = SCHEMA + ", k1 long, k_doc long, noise double, positions string, label string, `text hash` string"
+
+
+def test_pipeline(spark, none, labels):
+    import corpus_pipeline as pipeline
+
+    rows = [(*r, 1, 2, 0.5, "p", "l", "h") for r in ROWS]
+    folder = common.fresh_path(spark, "odd")
+    spark.createDataFrame(rows, EXTRA).repartition(3).write.parquet(f"{folder}/some/documents.parquet")
+    labels.write.parquet(f"{folder}/some/labels.parquet")
+    none.write.parquet(f"{folder}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{folder}/none/labels.parquet")
+    for name, most in (("some", len(ROWS)), ("none", 0)):
+        docs = first = spark.read.parquet(f"{folder}/{name}/documents.parquet")
+        counts = []
+        for stage, step in pipeline.STAGES[:-1]:
+            docs = common.stored(step(spark, docs, f"{folder}/{name}"), stage)
+            assert docs.columns == first.columns and docs.dtypes == first.dtypes
+            counts.append(docs.count())
+        assert counts[0] <= most and counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] <= 3 * counts[2]
+        if name == "some":
+            assert counts[1] > 0 and "4078918989542222" not in "".join(r.text or "" for r in docs.collect())
+        packed = pipeline.run(spark, f"{folder}/{name}").collect()
+        assert len([r for r in packed if r.piece == 0]) == counts[3]
+    # labels of nothing known, and a table without the columns that no stage needs
+    spark.createDataFrame([(1, "a b c", "s"), (2, None, None)], "doc_id long, text string, source string").write.parquet(f"{folder}/few/documents.parquet")
+    labels.limit(0).write.parquet(f"{folder}/few/labels.parquet")
+    assert {r.doc_id for r in pipeline.run(spark, f"{folder}/few").collect()} <= {1, 2}
