@@ -130,7 +130,14 @@ def test_vectors(spark):
     assert neighbours.search(index, books, neighbours.usable(vectors)).count() == 0
 
 
-@pytest.mark.parametrize("texts", [[None], [""], [None, "", " "], ["a b", None], ["a"]])
+@pytest.mark.parametrize("texts", [[b""], [b"", b" "], [b"a"], [b"a b", b""], [b"", b"a b c d e f"]])
+def test_slices_of_blank_and_short_texts(texts):
+    assert [len(s) for s in jaccard.sets_of(texts, 5)] == [0 if not t.split() else max(1, len(t.split()) - 4) for t in texts]
+    assert len(quality.hashed_runs(texts, 64)[0]) == sum(max(0, 2 * len(t.split()) - 1) for t in texts)
+    assert language_model._tokens(texts)[2].tolist() == [len(t.split()) + 1 for t in texts]
+
+
+@pytest.mark.parametrize("texts", [[None, "", " "], ["a b", None]])
 def test_partitions_of_blank_and_short_texts(spark, labels, texts):
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
     n = len(texts)
