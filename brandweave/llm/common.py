@@ -66,19 +66,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Files of a stored table that comes out of a shuffle, for each core.
+#: Files of a stored table of small rows, for each core.
 FILES = 4
 
 
-def stored(frame: DataFrame, name: str, path: str | None = None, shuffled: bool = False) -> DataFrame:
+def stored(frame: DataFrame, name: str, path: str | None = None, small: bool = False) -> DataFrame:
     """The same rows, written once to the shared folder and read back: cuts the lineage.
 
-    A table that comes out of a shuffle is written as FILES files for each core at most, since every
-    file costs calls to the store.
+    A table of small rows that comes out of a shuffle is written as FILES files for each core at most,
+    since every file costs calls to the store.
     """
     spark = frame.sparkSession
     path = path or fresh_path(spark, name)
-    (frame.coalesce(FILES * spark.sparkContext.defaultParallelism) if shuffled else frame).write.parquet(path)
+    (frame.coalesce(FILES * spark.sparkContext.defaultParallelism) if small else frame).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -102,10 +102,10 @@ class Scratch:
         self.held.append(frame.persist(StorageLevel.DISK_ONLY))
         return frame
 
-    def stored(self, frame: DataFrame, name: str) -> DataFrame:
-        """As ``stored`` of a table that comes out of a shuffle, in this block's folder."""
+    def stored(self, frame: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """As ``stored``, in this block's folder."""
         self.made += 1
-        return stored(frame, name, f"{self.folder}/{self.made}-{name}", shuffled=True)
+        return stored(frame, name, f"{self.folder}/{self.made}-{name}", small)
 
     def __exit__(self, *_) -> None:
         self.free()

@@ -34,7 +34,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     before = held = None
     while True:
         turn = Scratch(links.sparkSession, scratch)
-        edges = turn.stored(_small_star(_large_star(edges)), "stars")
+        edges = turn.stored(_small_star(_large_star(edges)), "stars", small=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if held:
             held.free()

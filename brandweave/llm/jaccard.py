@@ -124,7 +124,7 @@ def _classes(sketch: DataFrame, scratch: Scratch) -> np.ndarray:
         tables = tables.withColumn("part", F.col("part") % parts).groupBy("row", "part").applyInArrow(_added, "row int, part int, cells binary, counts binary, wide boolean")
         if parts == 1:
             break
-        tables = scratch.stored(tables, "counts")
+        tables = scratch.stored(tables, "counts", small=True)
 
     def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,7 +264,7 @@ class Join:
 
         prefixes = self.texts.mapInArrow(tidy(_prefixes(width, threshold, self.classes)), NODES)
         one = F.min_by(F.struct("n", "prefix", "others", "text_hash"), "text_hash").alias("one")
-        self.nodes = scratch.kept(prefixes.groupBy("fp").agg(one).select("fp", "one.*"))
+        self.nodes = scratch.stored(prefixes.groupBy("fp").agg(one).select("fp", "one.*"), "nodes")
 
     def buckets(self) -> DataFrame:
         """(token, fp, n, pos, first_fp, first_n, first_pos) of all buckets of two nodes or more."""
@@ -304,7 +304,7 @@ class Join:
         names = ("n", "prefix", "others")
         side = lambda end: nodes.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{end}" for end in "ab" for c in names))
-        return self.scratch.stored(both.mapInArrow(tidy(allow), "a long, b long"), "narrowed")
+        return self.scratch.stored(both.mapInArrow(tidy(allow), "a long, b long"), "narrowed", small=True)
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """The stored pairs (a, b) that reach the threshold."""
@@ -326,7 +326,7 @@ class Join:
         sets = self.scratch.stored(sets.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
         left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a")
         joined = left.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
-        return self.scratch.stored(joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long"), "links")
+        return self.scratch.stored(joined.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long"), "links", small=True)
 
     def links(self) -> DataFrame:
         """Links (u, v) of nodes, enough of them to connect every component."""
@@ -341,7 +341,7 @@ class Join:
         enough = (3 * F.count(F.lit(1)) + F.greatest(behind("n"), behind("first_n"))) * (s + t) >= (F.col("n") + F.col("first_n")) * t
         shared = first.groupBy("fp", "first_fp", "n", "first_n").agg(F.count(F.lit(1)).alias("tokens"), enough.alias("enough"), F.max("passes").alias("passes")).where("enough and passes")
         best = shared.groupBy("fp").agg(F.max(F.struct("tokens", "first_fp")).alias("best"))
-        tested = scratch.stored(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")), "tested")
+        tested = scratch.stored(best.select(F.col("best.first_fp").alias("a"), F.col("fp").alias("b")), "tested", small=True)
         stars = self.compare(tested)
         known = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
@@ -360,7 +360,7 @@ class Join:
         pairs = shorter.join(longer, ["token", "band", "part"]).where(before & (F.col("a_label") != F.col("b_label")) & _passes(self.threshold, "a_", "b_"))
         pairs = pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self.compare(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"))
+        rest = self.compare(scratch.stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs", small=True))
         return stars.unionAll(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -392,7 +392,7 @@ def near_copies(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
         ids = nodes.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
         nodes = nodes.join(ids, "label", "left").select("fp", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
         full = join.members.where("n > 0").join(nodes, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return stored(full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "near_copies", shuffled=True)
+        return stored(full.unionByName(join.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "near_copies", small=True)
 
 
 def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -410,7 +410,7 @@ def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int,
         texts = join.members.where("n > 0").groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
         one = F.min(F.struct("text_hash", "n_rows")).alias("one")
         texts = texts.join(chosen.withColumnRenamed("fp", "f"), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("least")))
-        chosen = stored(texts.groupBy("fp", "doc_id").agg(one).select(F.col("doc_id").alias("k_doc"), F.col("one.text_hash").alias("k_text"), F.col("one.n_rows").alias("k_rows")), "chosen", shuffled=True)
+        chosen = stored(texts.groupBy("fp", "doc_id").agg(one).select(F.col("doc_id").alias("k_doc"), F.col("one.text_hash").alias("k_text"), F.col("one.n_rows").alias("k_rows")), "chosen", small=True)
     rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("r_doc"), F.xxhash64(utf8()).alias("r_text"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("words"))
     kept = lambda of: rows.where("words").join(chosen.where(of), F.col("r_doc").eqNullSafe(F.col("k_doc")) & (F.col("r_text") == F.col("k_text")))
     repeated = kept("k_rows > 1").groupBy("k_doc", "k_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))

@@ -39,7 +39,7 @@ def n_words(text: str = "text") -> Column:
 def ranked_sources(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds ``rank``, from 1 by code point with null last, without one task seeing all sources."""
     order = F.col("source").asc_nulls_last()
-    dealt = scratch.stored(sources.repartitionByRange(RANK_PARTITIONS, order).withColumn("part", F.spark_partition_id()), "ranked")
+    dealt = scratch.stored(sources.repartitionByRange(RANK_PARTITIONS, order).withColumn("part", F.spark_partition_id()), "ranked", small=True)
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", before.alias("before"))
     within = F.row_number().over(W.partitionBy("part").orderBy(order))
@@ -137,7 +137,7 @@ def plan(documents: DataFrame, weight: Column | None = None, schedule: Column |
     """
     weight = ((F.col("rank") - 1) % 3 + 1) if weight is None else weight
     with Scratch(documents.sparkSession) as scratch:
-        return stored(_plan(documents, weight, schedule, max_epochs, scratch), "plan", shuffled=True)
+        return stored(_plan(documents, weight, schedule, max_epochs, scratch), "plan")
 
 
 def _plan(documents: DataFrame, weight: Column, schedule: Column | None, max_epochs: int, scratch: Scratch) -> DataFrame:
@@ -147,8 +147,8 @@ def _plan(documents: DataFrame, weight: Column, schedule: Column | None, max_epo
 
     words = F.col("size") * F.col("n_rows")
     sources = sized.groupBy("group", "source").agg(F.sum(words).alias("source_size"), F.sum("n_rows").alias("source_rows"))
-    sources = scratch.stored(ranked_sources(sources, scratch).withColumn("weight", weight).withColumn("knots", schedule if schedule is not None else default_schedule()), "sources")
-    sources = scratch.stored(_with_areas(targets(sources, max_epochs)).drop("source"), "targets")
+    sources = scratch.stored(ranked_sources(sources, scratch).withColumn("weight", weight).withColumn("knots", schedule if schedule is not None else default_schedule()), "sources", small=True)
+    sources = scratch.stored(_with_areas(targets(sources, max_epochs)).drop("source"), "targets", small=True)
     few = sources.count() <= BROADCAST_SOURCES
 
     means = sources.select("group", (F.col("source_size") / F.col("source_rows")).alias("mean"))
@@ -183,6 +183,7 @@ def _plan(documents: DataFrame, weight: Column, schedule: Column | None, max_epo
         .withColumn("small_demand", F.greatest(F.col("rest") - F.col("big_taken"), F.lit(0.0)))
         .select("group", "source_size", "target", "knots", "areas", "epochs", "rest", "big_size", "big_demand", "small_demand"),
         "demands",
+        small=True,
     )
 
     rows = _join_sources(placed, sources, few)

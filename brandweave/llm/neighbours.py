@@ -268,4 +268,4 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     with Scratch(spark) as scratch:
         index, books = build(vectors, scratch=scratch)
-        return stored(search(index, books, usable(vectors).where(F.col("vec_id") % 20 == 0)), "neighbours", shuffled=True)
+        return stored(search(index, books, usable(vectors).where(F.col("vec_id") % 20 == 0)), "neighbours", small=True)
