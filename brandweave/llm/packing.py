@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brandweave.llm.common import Scratch, small_batches, stored, table, tidy
@@ -225,19 +226,21 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_documents: int, max_cost:
 
 def _in_order(pieces: DataFrame, group_pieces: int) -> tuple[DataFrame, int]:
     """The pieces with ``at``, their document's place in the order of files and rows, and ``group``, runs
-    of that order with about as many pieces each; and the number of groups."""
+    of that order with about as many pieces each; and the number of groups. Only the files, one row for
+    each, are ever added up in one task."""
     block, inside = F.floor(F.col("row") / BLOCK_ROWS).cast("long"), F.col("row") % BLOCK_ROWS
-    pieces = pieces.withColumn("block", block)
-    found = sorted(tuple(r) for r in pieces.groupBy("file", "block").agg(F.max(inside).alias("last"), F.count(F.lit(1)).alias("n")).collect())
-    places, before = [], 0
-    for number, (file, block, last, n) in enumerate(found):
-        places.append((file, block, number, before, n / (last + 1)))
-        before += n
-    groups = max(1, -(-before // group_pieces))
-    places = pieces.sparkSession.createDataFrame(places, "file string, block long, number long, before long, density double")
-    index = F.col("before") + inside * F.col("density")
-    joined = pieces.join(F.broadcast(places), ["file", "block"])
-    joined = joined.withColumn("at", F.col("number") * BLOCK_ROWS + inside).withColumn("group", F.least(F.floor(index * groups / max(1, before)), F.lit(groups - 1)).cast("int"))
+    pieces, total = pieces.withColumn("block", block), pieces.count()
+    groups = max(1, -(-total // group_pieces))
+    blocks = pieces.groupBy("file", "block").agg(F.max(inside).alias("last"), F.count(F.lit(1)).alias("n"))
+    earlier = lambda what, order: F.coalesce(F.sum(what).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files, own = W.orderBy("file"), W.partitionBy("file").orderBy("block")
+    firsts = blocks.groupBy("file").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
+    firsts = firsts.select("file", earlier("n", files).alias("first_piece"), earlier("blocks", files).alias("first_block"))
+    places = blocks.select("file", "block", (F.row_number().over(own) - 1).alias("number"), earlier("n", own).alias("before"), (F.col("n") / (F.col("last") + 1)).alias("density"))
+    joined = pieces.join(places.join(firsts, "file"), ["file", "block"])
+    index = F.col("first_piece") + F.col("before") + inside * F.col("density")
+    joined = joined.withColumn("at", (F.col("first_block") + F.col("number")) * BLOCK_ROWS + inside)
+    joined = joined.withColumn("group", F.least(F.floor(index * groups / max(1, total)), F.lit(groups - 1)).cast("int"))
     return joined.select(*PIECE_NAMES, "at", "group"), groups
 
 
