@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brandweave.functions.shared import stored
+from brandweave.functions.shared import beside, kept
 from brandweave.sources.tables import revenue
 
 
@@ -43,10 +43,10 @@ def brand_trend(sales: DataFrame, grain: str = "month") -> DataFrame:
     """Revenue by period and brand, the change from the period before, and the movement in rank.
 
     Every brand has a row for every period from the first to the last; without sales it is 0. The totals
-    by period and brand are stored once, since the calendar and the rows both come from them.
+    by period and brand are kept once, since the calendar and the rows both come from them.
     """
     period = F.date_trunc(grain, "ordered").cast("timestamp_ntz")
-    totals = stored(sales.groupBy(period.alias("period"), "brand").agg(total().alias("exact")), "totals")
+    totals = kept(sales.groupBy(period.alias("period"), "brand").agg(total().alias("exact")))
     first, last = totals.agg(F.min("period"), F.max("period")).first()
     calendar = F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr(f"interval 1 {grain}"))
     frame = totals.select("brand").distinct().select("brand", F.explode(calendar).alias("period"))
@@ -83,28 +83,43 @@ def brand_top_parts(sales: DataFrame, k: int = 3) -> DataFrame:
     return totals.withColumn("place", place.cast("long")).where(F.col("place") <= k).select("brand", "place", "part_key", F.col("exact").cast("double").alias("revenue"))
 
 
-def _medians(prices: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and median price by key, of counted prices; null prices count as rows only."""
+def _medians(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and median price by key, of counted prices dealt into cells; null prices count as rows only.
+
+    A group's cells are summed up in order, which tells in which of them its middle rows lie; only those
+    are looked through, cell by cell.
+    """
+    same = lambda x, y, names: F.lit(True) if not names else same(x, y, names[1:]) & x[names[0]].eqNullSafe(y[names[0]])
+    known = F.sum(F.when(F.col("p_retailprice").isNotNull(), F.col("n")))
+    sums = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("total"), F.coalesce(known, F.lit(0)).alias("known"))
     group = W.partitionBy(*keys)
-    upto = F.sum(F.when(F.col("p_retailprice").isNotNull(), F.col("n"))).over(group.orderBy(F.col("p_retailprice").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0))
-    known = F.sum(F.when(F.col("p_retailprice").isNotNull(), F.col("n"))).over(group)
-    rows = prices.select(*keys, "p_retailprice", "n", upto.alias("upto"), known.alias("known"))
-    at = lambda rank: F.min(F.when((F.col("upto") >= rank) & F.col("p_retailprice").isNotNull(), F.col("p_retailprice")))
-    low, high = at(F.floor((F.col("known") + 1) / 2)), at(F.floor(F.col("known") / 2) + 1)
-    return rows.groupBy(*keys).agg(((low + high) / 2).alias("median"), F.sum("n").alias("total"))
+    upto, every = F.sum("known").over(group.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)), F.sum("known").over(group)
+    placed = sums.select(*keys, "cell", "total", (upto - F.col("known")).alias("before"), upto.alias("upto"), every.alias("every"))
+    low, high = F.floor((F.col("every") + 1) / 2), F.floor(F.col("every") / 2) + 1
+    middle = placed.where(((F.col("before") < low) & (F.col("upto") >= low)) | ((F.col("before") < high) & (F.col("upto") >= high))).select(*keys, "cell", "before", low.alias("low"), high.alias("high"))
+    inside = cells.where("p_retailprice is not null").join(beside(middle), same(cells, middle, [*keys, "cell"])).select(*(cells[c] for c in [*keys, "cell", "p_retailprice", "n"]), "before", "low", "high")
+    prices = inside.groupBy(*keys, "cell", "before", "low", "high", "p_retailprice").agg(F.sum("n").alias("n"))
+    passed = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "cell").orderBy("p_retailprice").rowsBetween(W.unboundedPreceding, 0))
+    at = lambda rank: F.min(F.when(F.col("passed") >= F.col(rank), F.col("p_retailprice")))
+    found = prices.withColumn("passed", passed).groupBy(*keys).agg(((at("low") + at("high")) / 2).alias("median"))
+    both = sums.select(*keys, "total", F.lit(None).cast("double").alias("median")).unionByName(found.select(*keys, F.lit(0).cast("long").alias("total"), "median"))
+    return both.groupBy(*keys).agg(F.max("median").alias("median"), F.sum("total").alias("total"))
 
 
 def brand_price_position(part: DataFrame) -> DataFrame:
     """Exact median price of each brand's parts of a type against the type's median.
 
-    Prices are counted first, so a median is found in a running sum over different prices, which Spark
-    sorts on disk where they are many; no task holds a type's prices in memory.
+    Prices are counted, dealt into cells in the order of type and price, and kept. A type that holds most
+    rows lies in many cells, and only the one or two in which a median falls are looked through: no task
+    holds a type. Null brands and types are groups; not-a-number is the greatest price.
     """
+    n = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prices = part.groupBy("p_brand", "p_type", "p_retailprice").agg(F.count(F.lit(1)).alias("n"))
-    types = _medians(prices.groupBy("p_type", "p_retailprice").agg(F.sum("n").alias("n")), ["p_type"]).select("p_type", F.col("median").alias("type_median"))
-    own = _medians(prices, ["p_brand", "p_type"]).withColumnRenamed("total", "n_parts")
-    return own.join(types, "p_type").select(
-        F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), "n_parts", F.round("median", 6).alias("median"), F.round("type_median", 6).alias("type_median"), F.round(F.col("median") / F.col("type_median"), 6).alias("position")
+    cells = kept(prices.repartitionByRange(n, F.col("p_type"), F.col("p_retailprice").asc_nulls_last()).withColumn("cell", F.spark_partition_id()))
+    types = _medians(cells, ["p_type"]).select(F.col("p_type").alias("type"), F.col("median").alias("type_median"))
+    own = _medians(cells, ["p_brand", "p_type"])
+    return own.join(beside(types), own.p_type.eqNullSafe(types.type)).select(
+        F.col("p_brand").alias("brand"), "type", F.col("total").alias("n_parts"), F.round("median", 6).alias("median"), F.round("type_median", 6).alias("type_median"), F.round(F.col("median") / F.col("type_median"), 6).alias("position")
     )
 
 

@@ -63,7 +63,7 @@ ORACLES = {
     "brand_price_position": """
         SELECT brand, type, n_parts, round(median, 6) AS median, round(type_median, 6) AS type_median, round(median / type_median, 6) AS position
         FROM (SELECT p_brand AS brand, p_type AS type, count(*) AS n_parts, quantile_cont(p_retailprice, 0.5) AS median FROM part GROUP BY ALL)
-        JOIN (SELECT p_type AS type, quantile_cont(p_retailprice, 0.5) AS type_median FROM part GROUP BY ALL) USING (type)""",
+        JOIN (SELECT p_type AS of, quantile_cont(p_retailprice, 0.5) AS type_median FROM part GROUP BY ALL) ON type IS NOT DISTINCT FROM of""",
     "brand_return_rate": """
         SELECT brand, returned, quantity, round(returned / quantity, 6) AS rate FROM (
           SELECT p_brand AS brand, sum(CASE WHEN l_returnflag = 'R' THEN cast(l_quantity AS decimal(12,2)) ELSE 0 END)::DOUBLE AS returned,

@@ -1,6 +1,7 @@
 """Hand-made rows with answers worked out by hand: ties, gaps, nulls and empty inputs."""
 
 import datetime as dt
+import statistics
 from decimal import Decimal
 
 from brandweave.operators import mentions as text
@@ -60,3 +61,15 @@ def test_mentions_are_whole_tokens(spark):
     assert voice == {"F": (3, 2, 0.75), "B": (1, 1, 0.25)}
     opinion = {r.brand: (r.n_words, r.opinion) for r in text.mention_opinion(found, lexicon(spark, [("bar", 2), ("foobar", -1)])).collect()}
     assert opinion == {"F": (3, 0.0)}
+
+
+def test_price_medians_of_one_large_type(spark):
+    rows = [(i, f"B{i % 3}", "T" if i % 50 else None, float(i * 7919 % 10_007) / 4) for i in range(5_000)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_retailprice double")
+    found = {(r.brand, r.type): (r.n_parts, r.median, r.type_median) for r in op.brand_price_position(part).collect()}
+    for kind in ("T", None):
+        every = [p for _, _, t, p in rows if t == kind]
+        for brand in ("B0", "B1", "B2"):
+            own = [p for _, b, t, p in rows if (b, t) == (brand, kind)]
+            assert found.pop((brand, kind)) == (len(own), round(statistics.median(own), 6), round(statistics.median(every), 6))
+    assert not found and op.brand_price_position(part.limit(0)).count() == 0
