@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brandweave.plans import events, sales, text
+from brandweave.plans import events, sales, text, vectors
 
-QUERIES: dict = {**sales.QUERIES, **text.QUERIES, **events.QUERIES}
-ORACLES: dict[str, str] = {**sales.ORACLES, **text.ORACLES, **events.ORACLES}
+QUERIES: dict = {**sales.QUERIES, **text.QUERIES, **vectors.QUERIES, **events.QUERIES}
+ORACLES: dict[str, str] = {**sales.ORACLES, **text.ORACLES, **vectors.ORACLES, **events.ORACLES}
