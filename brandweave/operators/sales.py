@@ -6,6 +6,8 @@ step. Ties are broken by name or key, so results do not depend on partitioning.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,15 +91,15 @@ def _medians(cells: DataFrame, keys: list[str]) -> DataFrame:
     A group's cells are summed up in order, which tells in which of them its middle rows lie; only those
     are looked through, cell by cell.
     """
-    same = lambda x, y, names: F.lit(True) if not names else same(x, y, names[1:]) & x[names[0]].eqNullSafe(y[names[0]])
     known = F.sum(F.when(F.col("p_retailprice").isNotNull(), F.col("n")))
     sums = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("total"), F.coalesce(known, F.lit(0)).alias("known"))
     group = W.partitionBy(*keys)
     upto, every = F.sum("known").over(group.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)), F.sum("known").over(group)
     placed = sums.select(*keys, "cell", "total", (upto - F.col("known")).alias("before"), upto.alias("upto"), every.alias("every"))
     low, high = F.floor((F.col("every") + 1) / 2), F.floor(F.col("every") / 2) + 1
-    middle = placed.where(((F.col("before") < low) & (F.col("upto") >= low)) | ((F.col("before") < high) & (F.col("upto") >= high))).select(*keys, "cell", "before", low.alias("low"), high.alias("high"))
-    inside = cells.where("p_retailprice is not null").join(beside(middle), same(cells, middle, [*keys, "cell"])).select(*(cells[c] for c in [*keys, "cell", "p_retailprice", "n"]), "before", "low", "high")
+    middle = placed.where(((F.col("before") < low) & (F.col("upto") >= low)) | ((F.col("before") < high) & (F.col("upto") >= high))).select(*(F.col(c).alias(f"m_{c}") for c in [*keys, "cell"]), "before", low.alias("low"), high.alias("high"))
+    same = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in [*keys, "cell"]))
+    inside = cells.where("p_retailprice is not null").join(beside(middle), same)
     prices = inside.groupBy(*keys, "cell", "before", "low", "high", "p_retailprice").agg(F.sum("n").alias("n"))
     passed = F.col("before") + F.sum("n").over(W.partitionBy(*keys, "cell").orderBy("p_retailprice").rowsBetween(W.unboundedPreceding, 0))
     at = lambda rank: F.min(F.when(F.col("passed") >= F.col(rank), F.col("p_retailprice")))
@@ -118,7 +120,7 @@ def brand_price_position(part: DataFrame) -> DataFrame:
     cells = kept(prices.repartitionByRange(n, F.col("p_type"), F.col("p_retailprice").asc_nulls_last()).withColumn("cell", F.spark_partition_id()))
     types = _medians(cells, ["p_type"]).select(F.col("p_type").alias("type"), F.col("median").alias("type_median"))
     own = _medians(cells, ["p_brand", "p_type"])
-    return own.join(beside(types), own.p_type.eqNullSafe(types.type)).select(
+    return own.join(beside(types), F.col("p_type").eqNullSafe(F.col("type"))).select(
         F.col("p_brand").alias("brand"), "type", F.col("total").alias("n_parts"), F.round("median", 6).alias("median"), F.round("type_median", 6).alias("type_median"), F.round(F.col("median") / F.col("type_median"), 6).alias("position")
     )
 
