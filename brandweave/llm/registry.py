@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brandweave.llm import html, jaccard, language_model, licenses, media, merkle, mixing, neighbours, packing, pii, quality
+from brandweave.llm import html, jaccard, language_model, licenses, media, merkle, mixing, neighbours, packing, pii, quality, ranked_search
 
 QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
@@ -16,9 +16,11 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "op8_packing": packing.op8_packing,
     "op12_merkle": merkle.op12_merkle,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.OP6_SQL,
     "op9_jaccard": jaccard.OP9_SQL,
     "op12_merkle": merkle.OP12_SQL,
+    "op13_ranked_search": ranked_search.OP13_SQL,
 }
