@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brandweave.llm import html, jaccard, language_model, licenses, media, merkle, mixing, neighbours, packing, pii, quality, ranked_search
+from brandweave.llm import html, jaccard, language_model, licenses, media, merkle, mixing, neighbours, packing, pii, quality, ranked_search, substrings
 
 QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
@@ -15,12 +15,14 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op10_licenses": licenses.op10_licenses,
     "op8_packing": packing.op8_packing,
+    "op11_substrings": substrings.op11_substrings,
     "op12_merkle": merkle.op12_merkle,
     "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.OP6_SQL,
     "op9_jaccard": jaccard.OP9_SQL,
+    "op11_substrings": substrings.OP11_SQL,
     "op12_merkle": merkle.OP12_SQL,
     "op13_ranked_search": ranked_search.OP13_SQL,
 }
