@@ -73,7 +73,7 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Words are runs of ASCII digits and letters and of all bytes from 80 up.
 KINDS = classes(words=bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 SCANNED = (
-    "doc_id long, n_words long, places array<struct<label:string,start:long,inside:boolean>>, "
+    "doc_id long, n_words long, places array<struct<label:string,start:long>>, "
     "blocks array<struct<label:string,template:int,start:long,end:long,containment:double,named:boolean>>"
 )
 
@@ -165,30 +165,18 @@ def _blocks(template: _Template, places: np.ndarray, ranks: np.ndarray, n_words:
     return [(template.label, template.number, s, e, d / k) for s, e, d in out]
 
 
-def _named(text: bytes, blocks: list[tuple], places: list[tuple], names: list[re.Pattern | None]) -> tuple[list[tuple], list[tuple]]:
-    """Blocks with whether their license's name stands in them, and places with whether they are part
-    of the name of a more exact license."""
+def _named(text: bytes, blocks: list[tuple], names: list[re.Pattern | None]) -> list[tuple]:
+    """Blocks with whether their license's name stands in them."""
     words = [w.lower().decode(errors="replace") for w in WORD.findall(text)]
-    inside, out = set(), []
-    for block in blocks:
-        label, number, start, end, _ = block
-        if (name := names[number]) is None:
-            out.append((*block, True))
-            continue
-        low = max(0, start - AROUND)
-        own = " ".join(words[low : end + AROUND])
-        found = [(low + own.count(" ", 0, m.start()), low + own.count(" ", 0, m.end())) for m in name.finditer(own)]
-        out.append((*block, bool(found)))
-        inside |= {(s, base) for s, base in places if label.startswith(base + "-") and any(a <= s <= b for a, b in found)}
-    return out, [(*p, p in inside) for p in places]
+    own = lambda start, end: " ".join(words[max(0, start - AROUND) : end + AROUND])
+    return [(*b, names[b[1]] is None or names[b[1]].search(own(b[2], b[3])) is not None) for b in blocks]
 
 
 def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | None = None, threshold: float = 0.8, names: dict[str, str] | None = None) -> DataFrame:
     """Per document: its number of words, the base phrases' places, and the template blocks.
 
-    ``places`` are (label, start, inside) where a phrase's words stand consecutively, by start and
-    label; ``inside`` tells that they are part of a more exact license's name. ``blocks`` are (label,
-    template number, start, end, containment, named), where overlapping blocks of a template are one
+    ``places`` are (label, start) where a phrase's words stand consecutively, by start and label.
+    ``blocks`` are (label, template number, start, end, containment, named), where overlapping blocks of a template are one
     run; ``named`` tells that the template's pattern of ``names``, if it has one, is met. Word places count from 0. A null or empty text has no words and empty
     lists; repeated rows, repeated or null doc_ids each give a row. Two words are equal when their
     64-bit hashes are.
@@ -236,11 +224,11 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | No
             rows = []
             for i in range(len(n)):
                 own, base = sorted(blocks.get(i, []), key=lambda x: (x[2], x[1])), sorted(places.get(i, []))
-                rows.append(_named(part.column(1)[i].as_py(), own, base, patterns) if own else ([], [(*p, False) for p in base]))
+                rows.append((_named(part.column(1)[i].as_py(), own, patterns) if own else [], base))
             columns = [
                 part.column(0),
                 pa.array(n),
-                pa.array([[{"label": label, "start": s, "inside": inside} for s, label, inside in base] for _, base in rows], type=pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("inside", pa.bool_())]))),
+                pa.array([[{"label": label, "start": s} for s, label in base] for _, base in rows], type=pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))),
                 pa.array(
                     [[dict(zip(("label", "template", "start", "end", "containment", "named"), x, strict=True)) for x in own] for own, _ in rows],
                     type=pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64()), ("named", pa.bool_())])),
@@ -252,11 +240,10 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases: dict[str, str] | No
 
 
 def with_labels(found: DataFrame) -> DataFrame:
-    """What op10_licenses gives of a scan: labels are those of named blocks, and of phrases but for
-    those inside the name of a more exact license."""
+    """What op10_licenses gives of a scan: labels are those of phrases, all of which stay, and of named
+    blocks; the score is 1 with a phrase, else the best containment of a named block, or 0."""
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     named = F.filter("blocks", lambda b: b["named"])
-    own = F.filter("places", lambda p: ~p["inside"])
     return found.select(
         "doc_id",
         "n_words",
@@ -264,7 +251,7 @@ def with_labels(found: DataFrame) -> DataFrame:
         F.array_min("places.start").alias("first_word"),
         F.array_max("places.start").alias("last_word"),
         labels(F.col("places.label")).alias("base_labels"),
-        labels(F.concat(F.transform(own, lambda p: p["label"]), F.transform(named, lambda b: b["label"]))).alias("labels"),
+        labels(F.concat(F.col("places.label"), F.transform(named, lambda b: b["label"]))).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(named, lambda b: b["containment"])), F.lit(0.0))).alias("score"),
         "blocks",
     )

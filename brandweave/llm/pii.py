@@ -14,7 +14,11 @@ two-digit years stand for 1930 to 2029 and are permuted among themselves, those
 (84-05-03) apart from the others. A time after a date stays. Phone numbers have separators, a plus or
 a leading 0; ten digits without any are one where a word such as phone or call stands before them.
 
-Values are replaced inside the tasks that read the texts; nothing is shuffled or gathered.
+Of IPv6 addresses, those with fewer than three colons are one where they start like a global, unique or
+link-local one (``fe80::1``); ``::1`` and the like stay.
+
+The pattern takes time in proportion to the text: all its repeats are bounded, or end where they
+began to match, and values of any length are permuted in pieces. Values are replaced inside the tasks that read the texts; nothing is shuffled or gathered.
 """
 
 from __future__ import annotations
@@ -88,8 +92,14 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
+#: Letters and digits that are permuted as one number; longer texts are permuted piece by piece.
+PIECE = 256
+
+
 def _spelled(text: str, key: bytes, kind: str, side: Callable[[str], object] | None = None) -> str:
     """Permutes the letters and digits of a text within their kinds, as one mixed-radix number."""
+    if len(text) > PIECE:
+        return "".join(_spelled(text[i : i + PIECE], key, f"{kind}@{i}", side) for i in range(0, len(text), PIECE))
     radix = [(10, "0") if c.isdigit() else (26, "a") if c.islower() else (26, "A") if c.isupper() else None for c in text]
     radix = [r if r and c.isascii() else None for r, c in zip(radix, text, strict=True)]
     value, n = 0, 1
@@ -168,8 +178,12 @@ def _ipv4(m: re.Match, key: bytes) -> str | None:
     return str(ipaddress.IPv4Address(permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ipv4", _unicast)))
 
 
+#: How an address of few groups starts: unique and link-local, and global ones.
+SHORT_IPV6 = re.compile(r"(?:[Ff][CcDd][0-9A-Fa-f]{2}|[Ff][Ee]80|[23][0-9A-Fa-f]{3})::")
+
+
 def _ipv6(m: re.Match, key: bytes) -> str | None:
-    if m["ipv6"].count(":") < 3 or not any(c.isdigit() for c in m["ipv6"]):
+    if m["ipv6"].count(":") < 3 and not SHORT_IPV6.match(m["ipv6"]) or not any(c.isdigit() for c in m["ipv6"]):
         return None
     try:
         value = int(ipaddress.IPv6Address(m["ipv6"]))
@@ -326,10 +340,17 @@ def _named_date(text: str, key: bytes) -> str | None:
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
+def _hex(value: str, key: bytes) -> str:
+    """Permutes hexadecimal digits, long runs of them piece by piece."""
+    pieces = [value[i : i + PIECE] for i in range(0, len(value), PIECE)]
+    kind = lambda i: f"hex{len(value)}" + (f"@{i}" if len(pieces) > 1 else "")
+    return "".join(f"{permute(int(p, 16), 16 ** len(p), key, kind(i)):0{len(p)}x}" for i, p in enumerate(pieces))
+
+
 def _secret(m: re.Match, key: bytes) -> str | None:
     whole, value = m["secret"], m["value"]
     if HEX.fullmatch(value):
-        new = f"{permute(int(value, 16), 16 ** len(value), key, f'hex{len(value)}'):0{len(value)}x}"
+        new = _hex(value, key)
         new = new.upper() if value.isupper() else new
     else:
         new = _spelled(value, key, "secret", lambda s: bool(HEX.fullmatch(s)))
@@ -341,7 +362,7 @@ KINDS: dict[str, Callable[[re.Match, bytes], str | None]] = {
     "secret": _secret, "email": _email, "iban": _iban, "called": _called, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ipv4": _ipv4, "ipv6": _ipv6,
 }
 PATTERN = re.compile(
-    r"""(?P<secret>\b(?i:(?:[a-z]+[_-])*(?:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|token|secret|password|passwd|pwd))["']?\s*[:=]\s*["']?(?P<value>[A-Za-z0-9_+/=.-]{8,}))
+    r"""(?P<secret>(?<![^\W_])(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']?(?P<value>[A-Za-z0-9_+/=.-]{8,}))
     |(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<called>\b(?i:tele(?:phone|fon|fono)|t\u00e9l\u00e9phone|phones?|tel|t\u00e9l|call(?:ed|s|ing)?|mobile?|m\u00f3vil|cell(?:phone)?|fax|handy|whatsapp|sms|text|ring|dial)\b[.:]?(?:[ ](?:me|us|him|her|them|at|on|no\.?|number|is|under|nr\.?)){0,3}[:#]?[ ]?(?P<number>\d{10})(?![\w-]|\.\d))

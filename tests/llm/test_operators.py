@@ -795,12 +795,12 @@ def test_long_templates_find_their_own_text(spark):
 def test_license_lines_get_their_own_label(spark):
     lines = {
         "Licensed under CC BY 4.0": "cc-by",
-        "Licensed under CC BY-NC 4.0": "cc-by-nc",
-        "Licensed under CC BY-SA 4.0": "cc-by-sa",
-        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+        "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc",
+        "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
         "Licensed under CC BY-NC 4.0 and CC BY 4.0": "cc-by,cc-by-nc",
-        "Licensed under the GNU General Public License version 2": "gpl-2.0",
-        "Licensed under the GNU General Public License, version 3": "gpl-3.0",
+        "Licensed under the GNU General Public License version 2": "gpl,gpl-2.0",
+        "Licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
         "Licensed under the GNU Lesser General Public License version 3": "gpl",
         "released under the MIT license": "mit",
         "released under the BSD license": "bsd",
@@ -815,6 +815,38 @@ def test_license_lines_get_their_own_label(spark):
     assert {texts[i]: got[i] for i in got} == {texts[i]: list(lines.values())[i // 2] for i in range(len(texts))}
 
 
+def brute_labels(text):
+    """Base labels, all labels and score, window by window."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    base = {label for phrase, label in licenses.PHRASES.items() if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+    labels, best = set(base), 0.0
+    for label, template in licenses.TEMPLATES:
+        own = re.findall(r"[0-9a-z]+", template)
+        need, width = math.ceil(0.8 * len(set(own)) - 1e-9), min(len(words), math.ceil(len(own) / 0.8 - 1e-9))
+        met = [i for i in range(len(words) - width + 1) if len(set(own) & set(words[i : i + width])) >= need and len(words) >= need]
+        while met:
+            n = next((k for k in range(1, len(met)) if met[k] > met[k - 1] + 1), len(met))
+            run, met = met[:n], met[n:]
+            around = " ".join(words[max(0, run[0] - licenses.AROUND) : run[-1] + width + licenses.AROUND])
+            name = licenses.NAMES.get(template)
+            if name is None or re.search(name, around):
+                labels.add(label)
+                best = max(best, *(len(set(own) & set(words[i : i + width])) / len(set(own)) for i in run))
+    return ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else best
+
+
+def test_license_labels_and_score_against_brute_force(spark, sf_dir):
+    rng = random.Random(12)
+    pieces = ["Licensed under CC BY-NC 4.0", "cc by", "All rights reserved", "GNU General Public License version 3", "released under the MIT license", "licensed version", "under the", "4.0", "by sa", "CC", "public domain"]
+    texts = [" ".join(rng.choice([*pieces, f"w{rng.randint(0, 9)}", rng.choice(licenses.TEMPLATES)[1]]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = {r.doc_id: r for r in licenses.with_labels(licenses.scan(documents(spark, texts))).collect()}
+    for i, text in enumerate(texts):
+        base, labels, score = brute_labels(text)
+        assert (rows[i].base_labels, rows[i].labels) == (base, labels) and abs(rows[i].score - score) < 1e-12, text
+        assert set(filter(None, base.split(","))) <= set(labels.split(","))
+
+
 # the queries and the pipeline
 
 
