@@ -885,6 +885,6 @@ def test_mixing_query_equals_its_sql(spark, sf_dir):
 def test_every_query_is_registered():
     from brandweave.llm import registry
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert os.path.basename(packing.default_tokenizer()) == "byte_bpe_50k.json"
