@@ -16,7 +16,7 @@ kept; from a region without a telling name, leading and trailing containers that
 line go.
 
 Each page is parsed by itself in the task that reads it, in time that grows with its length, however
-deep its elements are nested.
+deep its elements are nested and whatever tags are left unfinished.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: Words of class, id and role that mark what is not the article.
 MARKS = re.compile(
     r"^(?:ads?|advert(?:isement|isements|s|ising)?|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|complementary|footer|foot|contentinfo|masthead|topbar|toolbar"
-    r"|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|newsletter|subscribe|subscription|signup|login|comments?|disqus|replies|respond|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|search|skip|hidden|copyright|legal|form)$"
+    r"|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|newsletter|subscribe|subscription|signup|login|comments?|disqus|replies|respond|threads?|discussions?|reactions?|share|sharing|social|related|recommend(?:ed|ations?)?|widgets?|pagination|pager|search|skip|hidden|copyright|legal|form)$"
 )
 #: Words that may stand beside them in a name; with any other word (share-prices, legal-news) a name
 #: marks nothing.
@@ -58,6 +58,8 @@ NEUTRAL = frozenset(
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
+#: What begins a tag, or what is read as a comment. Without a '>' behind it, it takes the rest of the page.
+OPENS = re.compile(r"<(?:[A-Za-z!?]|/[^>])")
 #: A comment's end after its '<!--': at once, or where browsers end it.
 COMMENT_END = re.compile(r"-?>|.*?--!?>", re.DOTALL)
 
@@ -70,7 +72,7 @@ ABOUT = frozenset("has no with without layout enabled is".split())
 #: over: half, more for words that seldom name wrappers, and nearly all for discussions, which are
 #: often longer than the article.
 SHARE, LOUD_SHARE, TALK_SHARE = 0.5, 0.75, 0.95
-TALK = re.compile(r"^(?:comments?|disqus|replies|respond)$")
+TALK = re.compile(r"^(?:comments?|disqus|replies|respond|threads?|discussions?|reactions?)$")
 LOUD = re.compile(
     r"^(?:<aside>|<dialog>|<header>|ad.*|banner|sponsor.*|nav.*|menus?|breadcrumbs?|sidebars?|foot.*|contentinfo|cookies?|consent|gdpr|newsletter|subscri.*|signup|login|related|recommend.*|pagination|pager|copyright|legal)$"
 )
@@ -213,6 +215,13 @@ class _Lines(HTMLParser):
         end = COMMENT_END.match(self.rawdata, i + 4)
         return end.end() if end else len(self.rawdata)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """The end of a comment, or of what browsers read as one: doctypes, sections and the like."""
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.parse_pi(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self.rawdata.find(">", i + 2) + 1 or len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         if self.at.tag in SILENT:
             return
@@ -252,7 +261,8 @@ def main_text(html: str | None, radius: int = 2) -> str:
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    cut = OPENS.search(html, html.rfind(">") + 1)
+    parser.feed(html[: cut.start()] if cut else html)
     parser.close()
     lines = [line for line in parser.done() if not line[3].silent]
     if not lines:
@@ -325,7 +335,7 @@ def extract(pages: DataFrame, radius: int = 2) -> DataFrame:
     A null or empty page, or one without text, has an empty text. Repeated rows, repeated or null
     page_ids each give a row. Malformed markup is read as browsers do in the common cases: open
     paragraphs and list items end where the next begins, unmatched end tags are passed over, and an
-    unfinished tag or comment at the end is dropped. Depth of nesting is not limited. Comments end at '-->' or '--!>', and begin neither in
+    unfinished tag, declaration or comment takes the rest of the page, which is dropped. Depth of nesting is not limited. Comments end at '-->' or '--!>', and begin neither in
     attribute values nor in scripts, styles, titles and the like.
     """
 

@@ -1,10 +1,10 @@
-"""Time on texts made to be slow, and values of any length."""
+"""Time on texts and pages made to be slow, and values of any length."""
 
 import time
 
 import pytest
 
-from brandweave.llm import pii
+from brandweave.llm import html, pii
 
 HARD = {
     "hyphens": "a-", "underscores": "a_", "dots": "a.", "digits": "1234567890", "dotted": "1.", "colons": "1:", "only colons": ":", "spaced": "1 ", "ats": "a@", "hosts": "x@a.", "words": "token ",
@@ -40,3 +40,25 @@ def test_short_ipv6():
         assert [f[0] for f in found] == ["ipv6"] and new != text
     for text in ("::1", "dead::1", "12:30:45", "a::b1", "std::2x"):
         assert pii.replace(text) == (text, [])
+
+
+UNFINISHED = ("<a ", "</a ", "<!", "<?", "<![", "<!--", "&#", "&amp", '<a b="', "<a b='", "<a =", "<!DOCTYPE ", "</", "<a/", "<a b=c ", "<p><script>", "<title>", "<textarea>", "<svg ", "<![CDATA[", "<script ", "</script ", "<!-- -")
+
+
+@pytest.mark.parametrize("end", ["", ">", '">x', "-->"])
+def test_unfinished_markup_takes_time_in_proportion(end):
+    for piece in UNFINISHED:
+        took = []
+        for n in (25_000, 100_000):
+            page = "<p>hello</p>" + (piece * n)[:n] + end
+            began = time.process_time()
+            assert html.main_text(page).startswith("hello")
+            took.append(time.process_time() - began)
+        assert took[1] < max(1.0, 12 * took[0]), piece
+
+
+def test_unfinished_markup_takes_the_rest_of_the_page():
+    for rest in ("<a href=x y", "<![CDATA[ z", "<?php x", "<!doctype", "</p", "<!-- x"):
+        assert html.main_text(f"<p>one</p><p>two</p>{rest}") == "one\ntwo"
+    assert html.main_text("<![endif]><p>a < b</p><![if x]><p>c <3</p>") == "a < b\nc <3"
+    assert html.main_text("<p>one</p>two < three") == "one\ntwo < three"

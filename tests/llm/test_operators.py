@@ -281,6 +281,41 @@ def test_ratios_decide_the_region(monkeypatch):
     assert raw.tolist() != soft.tolist() and soft[8:].all() and not raw[10]
 
 
+def test_ratios_smoothing_and_threshold_by_hand(spark, sf_dir):
+    """Recomputed from their definitions, line by line, for flat pages of plain paragraphs and links."""
+    rng = random.Random(33)
+    for _ in range(40):
+        lines, page = [], ""
+        for _ in range(rng.randint(1, 25)):
+            text, link = "t" * rng.randint(1, 80), "l" * rng.randint(0, 20)
+            bold = rng.randint(0, 3)
+            page += f"<p>{'<b>' * bold}{text}{'</b>' * bold}" + (f"<a>{link}</a>" if link else "") + "</p>"
+            lines.append((len(text), 2 + 2 * bold + (2 if link else 0)))
+        parser = html._Lines()
+        parser.feed(page)
+        parser.close()
+        found = parser.done()
+        ratios = [n / tags for n, tags in lines]
+        assert html.ratios(found).tolist() == pytest.approx(ratios)
+        smooth = []
+        for i in range(len(ratios)):
+            weights = {j: math.exp(-((i - j) ** 2) / 8) for j in range(max(0, i - 4), min(len(ratios), i + 5))}
+            smooth.append(sum(ratios[j] * w for j, w in weights.items()) / sum(weights.values()))
+        assert html.smoothed(html.ratios(found)).tolist() == pytest.approx(smooth)
+        mean = sum(smooth) / len(smooth)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
+        near = [abs(x - min(deviation, max(smooth) / 2)) < 1e-9 for x in smooth]
+        want = [x >= min(deviation, max(smooth) / 2) for x in smooth]
+        assert [a or b == c for a, b, c in zip(near, html.clustered(np.array(smooth)).tolist(), want, strict=True)] == [True] * len(smooth)
+
+
+def test_discussions_without_the_usual_names():
+    article = "".join(f"<p>Paragraph {i} of the article, long enough to count among the lines.</p>" for i in range(3))
+    talk = "".join(f"<p>I do not agree with part {i} of this article at all and say so at length.</p>" for i in range(6))
+    for name in ("thread", "discussion-list", "reactions"):
+        assert html.main_text(f"<body><div>{article}</div><div class='{name}'>{talk}</div></body>") == "\n".join(f"Paragraph {i} of the article, long enough to count among the lines." for i in range(3))
+
+
 def test_main_text_without_article_elements(spark, sf_dir):
     rows = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     plain = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in rows]
