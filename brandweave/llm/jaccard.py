@@ -16,9 +16,9 @@ bucket and lie in different components are compared; buckets are joined by token
 lengths, and large ones in several parts. No pair is left out by any cap.
 
 Shingles equal in their 64-bit hashes count as the same. What is sent to the workers is of fixed
-size: the table of classes, and a bit set of the nodes to be compared, which only saves work. In the
-table of classes a task's count of a cell ends at 255; that may change the order of tokens, and with
-it the work, not the result.
+size: the table of classes, and a bit set of the nodes to be compared, which only saves work. A task
+sends its counts of cells as bytes, and what goes beyond 255 apart, so a token that crowds into few tasks counts
+as common as it is.
 """
 
 from __future__ import annotations
@@ -95,6 +95,9 @@ def _sketch(width: int):
                 rows.append((i, b"", counts.tobytes()))
             elif len(at):
                 rows.append((i, at.astype("<u2").tobytes(), counts[at].tobytes()))
+            own = cells[i << ROW_BITS : (i + 1) << ROW_BITS]
+            if len(over := np.flatnonzero(own > 255)):
+                rows.append((i, over.astype("<u2").tobytes(), (own[over] - 255).astype("<u4").tobytes()))
         if rows:
             none = pa.nulls(len(rows), type=pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, *(pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds[4:], strict=True))], names=names)
@@ -117,7 +120,9 @@ def _added(group: pa.Table) -> pa.Table:
 
 def _classes(sketch: DataFrame, scratch: Scratch) -> np.ndarray:
     """By cell, the power of two below its count; tables of counts are added up MERGED at a time."""
-    tables = sketch.where("row is not null").select("row", "part", "cells", "counts", F.lit(False).alias("wide"))
+    # cells take 2 bytes each; counts 1, or 4 where they are what goes beyond a byte
+    wide = (F.octet_length("cells") > 0) & (F.octet_length("counts") == 2 * F.octet_length("cells"))
+    tables = sketch.where("row is not null").select("row", "part", "cells", "counts", wide.alias("wide"))
     parts = (tables.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // MERGED)

@@ -5,7 +5,8 @@ dimensions. Codewords and codes minimise a loss that weighs the residual along t
 the residual across it, since only the former moves large inner products; the weights follow from a
 threshold on the cosine. Codes are found by coordinate descent over the subspaces.
 
-The index holds every row: norm, packed four-bit codes, and the vector itself. It is dealt by hash
+The index holds every row: norm, packed four-bit codes, the vector itself, and its number in the task
+that made it, by which rows that share an id, equal ones too, are dealt to different blocks. It is stored and dealt by hash
 into blocks; queries are dealt into groups. All queries meet all rows, so what is moved is each row
 once for each group and each query once for each block: both are as large as a task can hold, and
 each task and each partition of the results keeps k rows of a query only. A task scans one block for
@@ -42,7 +43,7 @@ RERANKED = 96
 #: Rows are scored exactly if their sums are less than so many standard errors below the k-th score.
 MARGIN = 3.0
 CODES = 16
-INDEX = "vec_id long, vector array<float>, norm double, codes binary"
+INDEX = "vec_id long, vector array<float>, norm double, codes binary, salt long"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -154,23 +155,26 @@ def build(vectors: DataFrame, sample_rows: int = SAMPLE, threshold: float = 0.2,
     rows = usable(vectors)
     common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if common is None:
-        return rows.select("vec_id", "vector", F.lit(0.0).alias("norm"), F.lit(b"").alias("codes")), None
+        return rows.select("vec_id", "vector", F.lit(0.0).alias("norm"), F.lit(b"").alias("codes"), F.lit(0).cast("long").alias("salt")), None
     dim = common.dim
     rows = rows.where(F.size("vector") == dim)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample_rows).toArrow()
     books = fit(_matrix(sample["vector"].combine_chunks(), dim).astype(np.float64), threshold)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _matrix(part.column(1), dim).astype(np.float64)
                 norms = np.linalg.norm(x, axis=1)
                 codes = pack_codes(assign(_split(x / norms[:, None]), books.words, books.parallel))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norms), pa.array([c.tobytes() for c in codes], type=pa.binary())], names=["vec_id", "vector", "norm", "codes"])
+                salt = pa.array(np.arange(before, before + part.num_rows))
+                before += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norms), pa.array([c.tobytes() for c in codes], type=pa.binary()), salt], names=["vec_id", "vector", "norm", "codes", "salt"])
 
     index = rows.mapInArrow(encode, INDEX)
-    return (scratch.kept(index) if scratch else stored(index, "index")), books
+    return (scratch.stored(index, "index") if scratch else stored(index, "index")), books
 
 
 def tables(queries: np.ndarray, books: Codebooks) -> np.ndarray:
@@ -244,10 +248,10 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
     n = index.count()
     blocks = max(1, -(-n // block_rows), min(-(-n // LEAST_ROWS), spark.sparkContext.defaultParallelism))
     groups = max(1, -(-queries.count() // group_queries))
-    dealt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("block", dealt(blocks, 1)).withColumn("group", every(groups))
-    right = queries.select("vec_id", "vector", dealt(groups, 2).alias("group")).withColumn("block", every(blocks))
+    left = index.withColumn("block", dealt(blocks, "vec_id", "salt")).drop("salt").withColumn("group", every(groups))
+    right = queries.select("vec_id", "vector", dealt(groups, "vec_id", F.lit(2)).alias("group")).withColumn("block", every(blocks))
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         parts = []

@@ -718,6 +718,32 @@ def test_near_copies_against_brute_force(spark):
     assert kept == sorted({c for c, size in zip(component, n) if size} | {i for i, size in enumerate(n) if not size})
 
 
+def test_counts_of_crowded_tokens_go_beyond_a_byte(spark):
+    frame = spark.createDataFrame([(i, f"a b c d e f{i}") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    with common.Scratch(spark) as scratch:
+        join = jaccard.Join(frame, 5, (4, 5), scratch)
+        word, n = common.hash_words([b"a b c d e"])
+        cell = int(common.shingles(word, n, 5)[0][0].astype(np.int64)) & ((1 << jaccard.CELL_BITS) - 1)
+        assert join.classes[cell] == 12 and np.median(join.classes[join.classes > 0]) <= 1
+
+
+def test_neighbours_with_one_id_for_most_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[300:600] = x[300]
+    ids = [7 if 300 <= i < 800 else 1000 + i for i in range(900)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").coalesce(2)
+    index, books = neighbours.build(vectors, sample_rows=300)
+    found = collections.defaultdict(list)
+    for r in neighbours.search(index, books, neighbours.usable(vectors).where("vec_id >= 1800 or vec_id = 7"), k=15, block_rows=100).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, round(r.score, 9)))
+    for q in [7, *range(1800, 1900)]:
+        own = min(x[i].tolist() for i in range(900) if ids[i] == q)
+        scores = np.einsum("nd,d->n", x.astype(np.float64), np.array(own))
+        order = sorted((-scores[i], ids[i]) for i in range(900) if ids[i] != q)[:15]
+        assert found[q] == [(i, round(-s, 9)) for s, i in order]
+
+
 def test_prefix_orders_lose_no_pair():
     rng = np.random.default_rng(13)
     classes = rng.integers(0, 6, 1 << jaccard.CELL_BITS).astype(np.uint8)
