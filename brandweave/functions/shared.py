@@ -37,6 +37,13 @@ def kept(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes what is in a path, by Hadoop's file systems: what Spark can write to, they can delete from."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _bytes(field: T.StructField):
     """About what a value takes."""
     value = F.col(f"`{field.name}`")

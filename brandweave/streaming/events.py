@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from brandweave.functions.shared import fresh_path
+from brandweave.functions.shared import drop_folder, fresh_path, kept
 from brandweave.sources.tables import SCHEMAS
 
 
@@ -28,10 +28,12 @@ def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int | None = Non
 
 
 def run_stream(frame: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that the stream gives until its input is used up, read back from Parquet.
+    """All rows that the stream gives until its input is used up.
 
     Each batch has a folder of its own, which a repeated batch overwrites, so that a restart after a
-    lost driver or executor neither loses nor doubles rows. In complete mode the last batch holds.
+    lost driver or executor neither loses nor doubles rows. In complete mode the last batch holds. At the end
+    the rows are kept as a checkpoint, which Spark drops when nothing refers to it, and the batches and the
+    stream's state go.
     """
     spark = frame.sparkSession
     path = fresh_path(spark, "stream")
@@ -45,7 +47,9 @@ def run_stream(frame: DataFrame, mode: str = "append") -> DataFrame:
     if mode == "complete":
         last = rows.agg(F.max("batch").alias("batch"))
         rows = rows.join(F.broadcast(last), "batch", "left_semi")
-    return rows.drop("batch")
+    rows = kept(rows.drop("batch"))
+    drop_folder(spark, path)
+    return rows
 
 
 def tumbling_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
