@@ -7,6 +7,7 @@ import os
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -489,6 +490,24 @@ def test_schedule_is_followed(spark):
 # language model
 
 
+def own_discounts(counts):
+    """Chen and Goodman's estimates, D_k = k - (k + 1) Y n_(k+1) / n_k with Y = n_1 / (n_1 + 2 n_2), kept from
+    0.05 to k; 0.5, 1 and 1.5 where a number of the first three is 0."""
+    n = collections.Counter(counts)
+    if not (n[1] and n[2] and n[3]):
+        return [0.5, 1.0, 1.5]
+    y = Fraction(n[1], n[1] + 2 * n[2])
+    return [float(min(max(k - (k + 1) * y * Fraction(n[k + 1], n[k]), Fraction(1, 20)), k)) for k in (1, 2, 3)]
+
+
+def test_discounts_by_hand():
+    # 8 counts of 1, 4 of 2, 2 of 3 and 1 of 4: Y is a half
+    assert language_model.discounts(8, 4, 2, 1) == (0.5, 1.25, 2.0)
+    assert own_discounts([1] * 8 + [2] * 4 + [3] * 2 + [4]) == [0.5, 1.25, 2.0]
+    assert language_model.discounts(8, 0, 2, 1) == (0.5, 1.0, 1.5)
+    assert language_model.discounts(1, 100, 1, 0) == pytest.approx(own_discounts([1] + [2] * 100 + [3]))
+
+
 def brute_model(texts):
     sentences = [["<s>", *t.lower().split(), "</s>"] for t in texts]
     pairs, single = collections.Counter(), collections.Counter()
@@ -499,9 +518,7 @@ def brute_model(texts):
     for (u, w), c in pairs.items():
         after[u].append(c)
         before[w] += 1
-    count = lambda values, n: sum(v == n for v in values)
-    d = language_model.discounts(*(count(pairs.values(), n) for n in (1, 2, 3, 4)))
-    e = language_model.discounts(*(count(before.values(), n) for n in (1, 2, 3, 4)))
+    d, e = own_discounts(pairs.values()), own_discounts(before.values())
     less = lambda c, d: 0 if not c else d[min(c, 3) - 1]
     total = sum(before.values())
     rest = sum(less(c, e) for c in before.values()) / total
