@@ -7,9 +7,9 @@ lines above a threshold (the smoothed ratios' standard deviation, or a share of
 clusters. The content region is the element that agrees best with the clusters: twice the clustered
 characters that it holds, over all clustered characters and all characters that it holds; the
 innermost of equals. Names are secondary: an ``article`` or ``main`` gets a bonus, and what is marked as
-menus, headers, footers, sidebars, notices, adverts, forms, or comments neither counts nor is kept. A
-mark under which most of the page's text stands (a form around the page, widget containers) tells
-nothing there and is passed over.
+menus, headers, footers, sidebars, notices, adverts, forms, or comments neither counts nor is kept,
+unless the clusters say otherwise: a mark under which most of the clustered text stands (a form around the page,
+widget containers) tells nothing there and is passed over.
 
 A page's short paragraphs lie in the region like its long ones, so all of the region's lines are
 kept; from a region without a telling name, leading and trailing containers that hold no clustered
@@ -36,11 +36,12 @@ from brandweave.llm.common import small_batches, table
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose text is never content; SILENT ones hold no page text at all.
+#: Elements that hold no page text at all, and the controls of forms.
 SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video map datalist".split())
-DROPPED = SILENT | frozenset("nav footer aside form button select textarea input fieldset menu dialog search label".split())
-#: Of these, the ones that may also wrap the whole page.
-WRAPPERS = frozenset("aside form fieldset dialog search label".split())
+CONTROLS = frozenset("button select textarea input".split())
+#: Elements that mark what they hold by their name.
+WRAPPERS = frozenset("aside form fieldset dialog search label nav footer menu".split())
+DROPPED = SILENT | CONTROLS | WRAPPERS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open paragraph, and elements that a new one of the same kind ends.
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "optgroup", "option"}
@@ -68,11 +69,11 @@ COMMENT_END = re.compile(r"-?>|.*?--!?>", re.DOTALL)
 ABOUT = frozenset("has no with without layout enabled is".split())
 
 
-#: The share of a page's characters outside links that must stand under a mark for it to be passed
+#: The share of the clusters' characters outside links that must stand under a mark for it to be passed
 #: over: half, more for words that seldom name wrappers, and nearly all for discussions, which are
-#: often longer than the article.
+#: often longer than the article, and for menus and footers.
 SHARE, LOUD_SHARE, TALK_SHARE = 0.5, 0.75, 0.95
-TALK = re.compile(r"^(?:comments?|disqus|replies|respond|threads?|discussions?|reactions?)$")
+TALK = re.compile(r"^(?:<nav>|<footer>|<menu>|comments?|disqus|replies|respond|threads?|discussions?|reactions?)$")
 LOUD = re.compile(
     r"^(?:<aside>|<dialog>|<header>|ad.*|banner|sponsor.*|nav.*|menus?|breadcrumbs?|sidebars?|foot.*|contentinfo|cookies?|consent|gdpr|newsletter|subscri.*|signup|login|related|recommend.*|pagination|pager|copyright|legal)$"
 )
@@ -268,7 +269,7 @@ def main_text(html: str | None, radius: int = 2) -> str:
     if not lines:
         return ""
     chosen = clustered(smoothed(ratios(lines), radius))
-    passed = _passed_over(lines, parser.elements)
+    passed = _passed_over(lines, chosen.tolist(), parser.elements)
     kept = [(text, holder, max(0, len(text) - linked) if c else 0) for (text, _, linked, holder), c in zip(lines, chosen.tolist(), strict=True) if holder.marks <= passed]
     for i, (text, e, votes) in enumerate(kept):
         e.votes, e.size, e.last = e.votes + votes, e.size + len(text), i
@@ -301,9 +302,9 @@ def _region(elements: list[_Element]) -> _Element:
     return max((e for e in found if agreement(e) >= CLOSE * best), key=lambda e: (e.depth, agreement(e)), default=root)
 
 
-def _passed_over(lines, elements: list[_Element]) -> set[str]:
-    """Marks under which most of the page's characters outside links stand."""
-    sizes = [max(0, len(text) - linked) for text, _, linked, _ in lines]
+def _passed_over(lines, chosen: list[bool], elements: list[_Element]) -> set[str]:
+    """Marks under which most of the clusters' characters outside links stand."""
+    sizes = [max(0, len(text) - linked) if c else 0 for (text, _, linked, _), c in zip(lines, chosen, strict=True)]
     total, under = sum(sizes), {}
     for size, (_, _, _, e) in zip(sizes, lines, strict=True):
         for mark in e.marks:
