@@ -12,9 +12,13 @@ one level by the least hash, leftmost first. The choice depends on the window's
 with equal words choose the same symbol at the same place. Neighbouring windows choose the same one: they are one
 row, an anchor, with the hash of the symbol's stretch as its key and the hash of all words of its windows
 as its region. Keys that occur once have no repeats. Where all anchors of a key have one region,
-all their windows are repeats. Of the others, each different region is looked up in one text, its windows are
-hashed, and equal ones are counted, which verifies them one by one. What is shuffled is a row for about
-ten words, and of the texts at most those that hold a region to verify, and those from which something is cut.
+all their windows are repeats. Of the others, the windows of each different region are hashed, where one of the
+texts that hold it is read again, and equal ones are counted, which verifies them one by one.
+
+What is shuffled is a row for about ten words (and a second one where the key may be shared), a row for each
+window to verify, and those texts from which something may be cut. Bit sets of a fixed size tell the
+tasks what may be meant; beyond some tens of millions of keys they tell less, and more is shuffled and
+thrown away: they save work and decide nothing.
 
 Words, windows and texts are equal when their 64-bit hashes are (windows: when their key and hash are).
 """
@@ -29,7 +33,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandweave.functions.shared import SMALL_BYTES, is_small
 from brandweave.llm.common import SAME, SPACE_CLASSES, Scratch, hash_words, mix64, slices, small_batches, stored, table, tidy, utf8
 
 WIDTH = 35
@@ -40,8 +43,8 @@ DIVISIONS = 8
 PART_WORDS = 1 << 17
 ANCHOR = "ref long, at long, key long, region long"
 WINDOW = "key long, hash long, region long, at int"
-#: The spans to cut out go to all tasks up to so many texts; beyond, texts and spans are merged by hash.
-SPAN_ROWS = 500_000
+#: Bits of a set that tells the tasks which keys, places or texts may be meant.
+FILTER_BITS = 25
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -242,8 +245,28 @@ def divisions_of(texts: DataFrame, rounds: int = ROUNDS, width: int = WIDTH) ->
     return out
 
 
-def _anchored(divisions: list[int], width: int):
-    names = [x.split()[0] for x in ANCHOR.split(", ")]
+def _bits(values: DataFrame) -> np.ndarray:
+    """The bit set of the values of a column of longs: FILTER_BITS bits, or twice as many bytes on the way."""
+    v = F.col(values.columns[0])
+    rows = values.groupBy(F.shiftright(v.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({values.columns[0]} & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _may_be(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values are in a bit set, or share a bit with one that is."""
+    at = values.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _rows(columns: tuple[np.ndarray, ...], layout: str) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=[x.split()[0] for x in layout.split(", ")])
+
+
+def _anchored(divisions: list[int], width: int, keys: np.ndarray | None = None):
+    """All anchors, or those whose keys may be in a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -251,37 +274,39 @@ def _anchored(divisions: list[int], width: int):
             for words, counts, first, before in _parts(*_hashed(part), width):
                 text, start, size, key, region = anchors_of(words, counts, divisions, width)
                 columns = (refs[first + text], ((start + before) << 6) | size, key.view(np.int64), region.view(np.int64))
-                for at in range(0, len(text), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=names)
+                if keys is not None:
+                    meant = _may_be(keys, columns[2])
+                    columns = tuple(c[meant] for c in columns)
+                yield from _rows(columns, ANCHOR)
 
     return tidy(run)
 
 
-def _windows(width: int):
-    """The windows of the regions that are looked up in a text, once for each text in a task."""
-    names = [x.split()[0] for x in WINDOW.split(", ")]
+def _windows(divisions: list[int], width: int, texts: np.ndarray, places: np.ndarray):
+    """The windows of the regions that are to be verified; others may come with them and do no harm.
+
+    Equal texts count once in a task, and as one where their windows are counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in slices(batches):
-            refs = part.column(0).to_pylist()
-            new = [i for i, r in enumerate(refs) if r not in seen and refs.index(r) == i]
-            seen.update(refs)
-            if not new:
-                continue
-            part = part.take(pa.array(new))
-            words, counts = _hashed(part)
-            begins = np.cumsum(counts) - counts
-            lists = part.column(2)
-            of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-            at, key, region = (x.to_numpy() for x in lists.flatten().flatten())
-            first, size = begins[of] + (at >> 6), at & 63
-            shift = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            start = np.repeat(first, size) + shift
-            hashes = Rolled(words).of(start, start + width)
-            columns = (np.repeat(key, size), hashes.view(np.int64), np.repeat(region, size), shift.astype(np.int32))
-            for i in range(0, len(start), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=names)
+        for batch in batches:
+            refs = batch.column(0).to_numpy()
+            meant = []
+            for i in np.flatnonzero(_may_be(texts, refs)).tolist():
+                if (ref := int(refs[i])) not in seen:
+                    seen.add(ref)
+                    meant.append(i)
+            for part in slices([batch.take(pa.array(meant, type=pa.int64()))]):
+                refs = part.column(0).to_numpy()
+                for words, counts, first, before in _parts(*_hashed(part), width):
+                    text, start, size, key, region = anchors_of(words, counts, divisions, width)
+                    meant_here = _may_be(places, refs[first + text] ^ (((start + before) << 6) | size))
+                    text, start, size, key, region = (x[meant_here] for x in (text, start, size, key, region))
+                    begins = np.cumsum(counts) - counts
+                    shift = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                    at = np.repeat(begins[text] + start, size) + shift
+                    yield from _rows((np.repeat(key.view(np.int64), size), Rolled(words).of(at, at + width).view(np.int64), np.repeat(region.view(np.int64), size), shift.astype(np.int32)), WINDOW)
 
     return tidy(run)
 
@@ -313,15 +338,16 @@ def _merged(width: int):
 def repeated_spans(texts: DataFrame, scratch: Scratch, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """(ref, spans) of every text, known by the hash ``ref``, that holds words of a repeated window."""
     divisions = divisions_of(texts, rounds, width)
-    anchors = texts.mapInArrow(_anchored(divisions, width), ANCHOR)
-    keys = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high")).where("n > 1")
-    mixed = F.col("low") != F.col("high")
-    shared = scratch.stored(anchors.join(keys, "key").select("ref", "at", *(F.when(mixed, F.col(c)).alias(c) for c in ("key", "region"))), "shared", small=True)
+    found = texts.mapInArrow(_anchored(divisions, width), ANCHOR).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
+    # stored, so that the join below has nothing but its two sides, which Spark can split where a key is hot
+    keys = scratch.stored(found.where("n > 1").select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys", small=True)
+    anchors = texts.mapInArrow(_anchored(divisions, width, _bits(keys.select("key"))), ANCHOR)
+    shared = scratch.stored(anchors.join(keys, "key").select("ref", "at", *(F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("key", "region"))), "shared", small=True)
     sure = shared.where("key is null").select("ref", "at", F.lit(-1).cast("long").alias("mask"))
     open_ = shared.where("key is not null")
     regions = scratch.stored(open_.groupBy("key", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "at")).alias("one")), "regions", small=True)
-    lists = scratch.stored(regions.groupBy(F.col("one.ref").alias("ref")).agg(F.collect_list(F.struct(F.col("one.at").alias("at"), "key", "region")).alias("looked")), "lookups", small=True)
-    windows = _beside(texts, lists, "inner").mapInArrow(_windows(width), WINDOW)
+    one = regions.select("one.*")
+    windows = texts.mapInArrow(_windows(divisions, width, _bits(one.select("ref")), _bits(one.select(F.col("ref").bitwiseXOR(F.col("at")).alias("place")))), WINDOW)
     place = F.struct("region", "at")
     equal = windows.groupBy("key", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key", "hash")
     bits = windows.join(equal, ["key", "hash"]).groupBy("key", "region").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
@@ -332,20 +358,27 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, width: int = WIDTH, round
     return scratch.stored(grouped.mapInArrow(_merged(width), "ref long, spans binary"), "spans", small=True)
 
 
-def _beside(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Texts with what is known of them: sent to all tasks up to SPAN_ROWS rows, else merged by hash."""
-    small = is_small(lists.select("ref", *(F.col(c).cast("binary") if t == "binary" else F.flatten(F.transform(c, lambda x: F.array(x["at"], x["key"], x["region"]))).alias(c) for c, t in lists.dtypes if c != "ref")), SPAN_ROWS, SMALL_BYTES)
-    return texts.join(F.broadcast(lists) if small else lists.hint("merge"), "ref", how)
+def _meant(bits: np.ndarray):
+    """Rows (ref, doc_id, text) from which something may be cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_be(bits, batch.column(0).to_numpy())))
+
+    return tidy(run)
 
 
-def _cut(width: int):
+def _cut(bits: np.ndarray | None = None):
+    """What is left of rows (ref, doc_id, text, spans); with ``bits``, of rows (ref, doc_id, text) from which nothing is cut."""
     names = ["doc_id", "n_words", "spans", "text"]
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
+            if bits is not None:
+                part = part.filter(pa.array(~_may_be(bits, part.column(0).to_numpy())))
             n, all_spans, kept = [], [], []
-            for text, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for text, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist() if bits is None else [None] * part.num_rows, strict=True):
                 words = text.split()  # bytes: at runs of bytes 20 and 09 to 0D
                 own = np.frombuffer(spans or b"", dtype="<i8").reshape(-1, 2).tolist()
                 n.append(len(words))
@@ -371,7 +404,10 @@ def without_repeats(documents: DataFrame, scratch: Scratch, width: int = WIDTH,
         raise ValueError("width must be from 1 to 60")
     rows = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).withColumn("ref", F.xxhash64("text"))
     spans = repeated_spans(rows.select("ref", "text"), scratch, width, rounds)
-    return _beside(rows.select("ref", "doc_id", "text"), spans, "left").mapInArrow(_cut(width), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, text string")
+    rows = rows.select("ref", "doc_id", "text")
+    bits, layout = _bits(spans.select("ref")), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, text string"
+    meant = rows.mapInArrow(_meant(bits), rows.schema).join(spans.hint("merge"), "ref", "left").select("ref", "doc_id", "text", "spans")
+    return meant.mapInArrow(_cut(), layout).unionByName(rows.mapInArrow(_cut(bits), layout))
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
