@@ -362,11 +362,11 @@ KINDS: dict[str, Callable[[re.Match, bytes], str | None]] = {
     "secret": _secret, "email": _email, "iban": _iban, "called": _called, "phone": _phone, "card": _card, "ssn": _ssn, "date": _date, "ipv4": _ipv4, "ipv6": _ipv6,
 }
 PATTERN = re.compile(
-    r"""(?P<secret>(?<![^\W_])(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']?(?P<value>[A-Za-z0-9_+/=.-]{8,}))
+    r"""(?P<secret>(?<![^\W_])(?i:api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|token|secret|password|passwd|pwd)["']?\s*[:=]\s*["']?(?P<value>[A-Za-z0-9_+/=.-]{7,}[A-Za-z0-9_+/=]))
     |(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<called>\b(?i:tele(?:phone|fon|fono)|t\u00e9l\u00e9phone|phones?|tel|t\u00e9l|call(?:ed|s|ing)?|mobile?|m\u00f3vil|cell(?:phone)?|fax|handy|whatsapp|sms|text|ring|dial)\b[.:]?(?:[ ](?:me|us|him|her|them|at|on|no\.?|number|is|under|nr\.?)){0,3}[:#]?[ ]?(?P<number>\d{10})(?![\w-]|\.\d))
-    |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}|\+(?!1[ (.-])\d{2,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|(?<![./-])0[1-9]\d{0,3}(?:[ /-]\d{6,8}|(?:[ ]\d{2,4}){2,4})(?![-/]\d))(?!\d))
+    |(?P<phone>(?<![\w+])(?:(?:\+?1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?:\+?1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}|\+1\d{10}|\+(?!1[ (.-])\d{2,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}|(?<![./-])(?!\d{4}[ ]\d{4}[ ]\d{4}[ ]\d)0[1-9]\d{0,3}(?:[ /-]\d{6,8}|(?:[ ]\d{2,4}){2,4})(?![-/]\d))(?!\d))
     |(?P<card>(?<!\d)(?:\d{12,19}|\d{4}(?P<c1>[ -])\d{4}(?P=c1)\d{4}(?P=c1)\d{1,7}|\d{4}(?P<c2>[ -])\d{6}(?P=c2)\d{5})(?!\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<date>(?<![\w./-])(?:(?<![Vv]ersion[ ])(?<![Rr]elease[ ])(?P<d1>\d{4}|\d{1,2})(?P<ds>[./-])(?P<d2>\d{1,2})(?P=ds)(?P<d3>\d{4}|\d{1,2})(?!(?![Tt]\d\d:?\d\d)[\w/-]|\.\d)|(?:"""

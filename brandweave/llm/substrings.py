@@ -350,9 +350,11 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, width: int = WIDTH, round
     windows = texts.mapInArrow(_windows(divisions, width, _bits(one.select("ref")), _bits(one.select(F.col("ref").bitwiseXOR(F.col("at")).alias("place")))), WINDOW)
     place = F.struct("region", "at")
     equal = windows.groupBy("key", "hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key", "hash")
+    # stored, like the masks below, so that the joins have nothing but two sides
+    equal = scratch.stored(equal, "equal", small=True)
     bits = windows.join(equal, ["key", "hash"]).groupBy("key", "region").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     whole = regions.where("n > 1").select("key", "region", F.lit(-1).cast("long").alias("mask"))
-    masks = whole.unionByName(bits).groupBy("key", "region").agg(F.bit_or("mask").alias("mask"))
+    masks = scratch.stored(whole.unionByName(bits).groupBy("key", "region").agg(F.bit_or("mask").alias("mask")), "masks", small=True)
     found = sure.unionByName(open_.join(masks, ["key", "region"]).select("ref", "at", "mask"))
     grouped = found.groupBy("ref").agg(F.collect_set(F.struct("at", "mask")).alias("found"))
     return scratch.stored(grouped.mapInArrow(_merged(width), "ref long, spans binary"), "spans", small=True)
