@@ -4,8 +4,8 @@ Counting: tasks combine what they read into sorted runs of hashes and send one p
 shard; a shard is a range of context hashes and merges its blocks into sorted arrays. A context that
 would fill more than a quarter of a shard is split over several by its next word. The numbers of
 shards of bigrams and of words follow the number of tokens, so a merge holds a bounded number of
-them. What passes through the driver is a list of at most HOT_WORDS words, whatever the corpus, and the
-names of the files, one for each shard; they are written beside the arrays for the workers.
+them. Tasks write the names of the shards' files beside the arrays, LISTED to a list. What passes through the driver
+is a list of at most HOT_WORDS words, whatever the corpus, and the names of the lists.
 
 Stored form, in the shared folder: bigram shards (64-bit keys in order, counts of one byte and the
 few larger ones beside them) and word shards (hash, count, number of different words before it,
@@ -40,6 +40,8 @@ SHARD_TOKENS = 2_000_000
 SHARD_BYTES = 12_000_000
 #: At most so many words are split over shards.
 HOT_WORDS = 1_000_000
+#: Shards whose files stand in one list.
+LISTED = 4096
 #: Arrays that a worker keeps mapped.
 MAPS = 8192
 END = np.uint64(0x5EED_0000_0000_0001)
@@ -325,21 +327,46 @@ def train(documents: DataFrame, folder: str | None = None) -> Model:
     second = spark.read.schema(_BLOCKS).parquet(f"{folder}/pairs")
     merged = words.unionByName(second.where("kind <> 'file'")).groupBy("shard").applyInArrow(_finish_words(f"{folder}/arrays"), _BLOCKS)
     merged.write.parquet(f"{folder}/numbers")
-    files = lambda frame: frame.where("kind = 'file'").collect()
-    listed = lambda rows, name: _listed(f"{folder}/arrays", name, sorted((int(np.frombuffer(r.b, dtype=_U64)[0]), r.a) for r in rows))
-    pair_files, word_files = files(second), files(spark.read.schema(_BLOCKS).parquet(f"{folder}/numbers"))
-    total = lambda rows, n: sum((np.frombuffer(r.c, dtype=_U64).astype(np.int64) for r in rows), np.zeros(n, dtype=np.int64)).tolist()
-    n1, n2, n3, n4 = total(pair_files, 4)
-    m1, m2, m3, m4, m_more, before = total(word_files, 6)
+    pair_files, word_files = second.where("kind = 'file'"), spark.read.schema(_BLOCKS).parquet(f"{folder}/numbers").where("kind = 'file'")
+    n1, n2, n3, n4 = _totals(pair_files, 4)
+    m1, m2, m3, m4, m_more, before = _totals(word_files, 6)
     d = discounts(m1, m2, m3, m4)
     rest = (d[0] * m1 + d[1] * m2 + d[2] * m_more) / before if before else 1.0
-    return Model(f"{folder}/arrays", seats, listed(pair_files, "pairs"), listed(word_files, "words"), tokens, different, n_documents, discounts(n1, n2, n3, n4), d, before, rest)
+    return Model(f"{folder}/arrays", seats, _listed(pair_files, folder, "pairs"), _listed(word_files, folder, "words"), tokens, different, n_documents, discounts(n1, n2, n3, n4), d, before, rest)
 
 
-def _listed(folder: str, name: str, files: list[tuple[int, bytes]]) -> str:
-    """Writes the files' first keys, ascending, and names; gives the list's own name."""
-    names = np.array([n for _, n in files], dtype=f"S{NAME}")
-    return _write(folder, name, {"first": np.array([k for k, _ in files], dtype=_U64), "names": names.view(np.uint8)})
+def _totals(files: DataFrame, n: int) -> list[int]:
+    """The sums of the files' n numbers, added up by task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            for numbers in batch.column(0).to_pylist():
+                total += np.frombuffer(numbers, dtype=_U64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(total)], names=["at", "n"])
+
+    rows = {r.at: r.n for r in files.select("c").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    return [rows.get(i, 0) for i in range(n)]
+
+
+def _list(folder: str, name: str, files: list[tuple[int, bytes]]) -> str:
+    """Writes first keys, ascending, and the names that stand for them; gives the list's own name."""
+    names = np.array([n for _, n in sorted(files)], dtype=f"S{NAME}")
+    return _write(folder, name, {"first": np.array([k for k, _ in sorted(files)], dtype=_U64), "names": names.view(np.uint8)})
+
+
+def _listed(files: DataFrame, folder: str, kind: str) -> str:
+    """Writes the lists of the shards' files, a task for LISTED shards, and the list of lists; gives its name."""
+
+    def run(group: pa.Table) -> pa.Table:
+        own = [(int(np.frombuffer(b, dtype=_U64)[0]), a) for a, b in zip(group["a"].to_pylist(), group["b"].to_pylist(), strict=True)]
+        return pa.table({"name": [_list(f"{folder}/arrays", f"{kind}-list", own)], "first": [np.array([min(own)[0]], dtype=_U64).tobytes()]})
+
+    spark = files.sparkSession
+    grouped = files.select(F.floor(F.col("shard") / LISTED).alias("list"), "a", "b").groupBy("list").applyInArrow(run, "name string, first binary")
+    grouped.write.parquet(f"{folder}/{kind}-lists")  # first, so that only lists of tasks that ended are named
+    lists = [(int(np.frombuffer(r["first"], dtype=_U64)[0]), r["name"].encode()) for r in spark.read.schema(grouped.schema).parquet(f"{folder}/{kind}-lists").collect()]
+    return _list(f"{folder}/arrays", f"{kind}-lists", lists)
 
 
 class Mapped:
@@ -373,17 +400,25 @@ class Mapped:
                 self.arrays[name] = np.empty(0, dtype=kind)
         return self.arrays[name]
 
-    def _parts(self, files: str, keys: np.ndarray) -> Iterator[tuple[str, int, int]]:
-        """The files that ascending keys fall into, each with its stretch of them."""
-        if files not in self.lists:
-            self.lists[files] = self.array(f"{files}.first", _U64), self.array(f"{files}.names", np.dtype(f"S{NAME}"))
-        first, names = self.lists[files]
+    def _stretches(self, name: str, keys: np.ndarray) -> Iterator[tuple[str, int, int]]:
+        """What ascending keys fall into by a list, each with its stretch of them."""
+        if name not in self.lists:
+            if len(self.lists) >= MAPS:
+                self.lists.clear()
+            self.lists[name] = self.array(f"{name}.first", _U64), self.array(f"{name}.names", np.dtype(f"S{NAME}"))
+        first, names = self.lists[name]
         at = np.searchsorted(first, keys, side="right") - 1
         cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
         for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
             if at[a] >= 0:
                 yield names[at[a]].decode(), a, b
 
+    def _parts(self, lists: str, keys: np.ndarray) -> Iterator[tuple[str, int, int]]:
+        """The files that ascending keys fall into."""
+        for name, a, b in self._stretches(lists, keys):
+            for file, c, d in self._stretches(name, keys[a:b]):
+                yield file, a + c, a + d
+
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """Counts of ascending bigram keys."""
         out = np.zeros(len(keys), dtype=np.int64)

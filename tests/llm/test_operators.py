@@ -548,6 +548,18 @@ def test_language_model_against_brute_force(spark):
         assert math.isclose(r.score, sum(math.log10(p(w, u)) for u, w in zip(["<s>", *words], words)), rel_tol=1e-9)
 
 
+def test_language_model_with_several_lists_of_files(spark, monkeypatch):
+    texts = random_texts(120, 21, words=60)
+    whole = {r.doc_id: r.score for r in language_model.score(documents(spark, texts), language_model.train(documents(spark, texts))).collect()}
+    monkeypatch.setattr(language_model, "SHARD_BYTES", 500)
+    monkeypatch.setattr(language_model, "LISTED", 3)
+    model = language_model.train(documents(spark, texts))
+    arrays = language_model.Mapped(model)
+    assert len(arrays.array(f"{model.words}.first", np.dtype("<u8"))) > 2
+    parts = {r.doc_id: r.score for r in language_model.score(documents(spark, texts), model).collect()}
+    assert parts == pytest.approx(whole)
+
+
 def test_language_model_splits_hot_contexts(spark, monkeypatch):
     monkeypatch.setattr(language_model, "SHARD_TOKENS", 300)
     rng = random.Random(9)
