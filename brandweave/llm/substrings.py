@@ -55,9 +55,10 @@ def _named(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         return mix64(a * np.uint64(0xC2B2AE3D27D4EB4F) + mix64(b + np.uint64(salt)))
 
 
-def _left(names: np.ndarray, division: int) -> np.ndarray:
-    """Whether symbols are left ones; an odd division is the even one before it, turned round."""
-    return (mix64(names ^ mix64(np.array([division // 2 + 1], dtype=np.uint64))) & np.uint64(1)) == np.uint64(division % 2)
+def _left(mixed: np.ndarray, division: int) -> np.ndarray:
+    """Whether symbols with these scrambled names are left ones: those whose bit for the division is 1, or by an
+    odd one, which is the even one before it turned round, 0."""
+    return (mixed >> np.uint64(division // 2) & np.uint64(1)) != np.uint64(division % 2)
 
 
 @dataclass
@@ -105,7 +106,7 @@ def pairs(s: Symbols, division: int, salt: int, begins: np.ndarray, ends: np.nda
     n = len(s.names)
     if not n:
         return s
-    first, left = s.firsts(), _left(s.names, division)
+    first, left = s.firsts(), _left(mix64(s.names), division)
     joins = np.zeros(n, dtype=bool)
     joins[:-1] = left[:-1] & ~left[1:] & ~first[1:]
     second = np.zeros(n, dtype=bool)
@@ -225,9 +226,9 @@ def _tried(divisions: list[int], width: int):
             for words, counts, _, _ in _parts(*_hashed(part, 0), width):
                 ends = np.cumsum(counts)
                 s = runs(levels_of(words, counts, divisions)[-1], ends - counts, ends)
-                inside = ~s.firsts()[1:]
+                inside, mixed = ~s.firsts()[1:], mix64(s.names)
                 for i in range(DIVISIONS):
-                    left = _left(s.names, 2 * i)
+                    left = _left(mixed, 2 * i)
                     a, b = left[:-1][inside], left[1:][inside]
                     total[2 * i] += np.count_nonzero(a & ~b)
                     total[2 * i + 1] += np.count_nonzero(b & ~a)
